@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from notelode.llm import quality
+from notelode.llm import mixing, pieces, quality, tokens, urls
 
 
 def queries() -> dict:
-    return {"op1_quality_llr": quality.op1_quality_llr}
+    return {
+        "op1_quality_llr": quality.op1_quality_llr,
+        "op5_url_filter": urls.op5_url_filter,
+        "op6_token_blocks": tokens.op6_token_blocks,
+        "op7_mixing": mixing.op7_mixing,
+        "op9_sentencepiece": pieces.op9_sentencepiece,
+    }
 
 
 def oracle_sql() -> dict:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from notelode.llm import mixing, pieces, quality, tokens, urls
+from notelode.llm import mixing, ogg, pieces, quality, tokens, toxicity, urls
 
 
 def queries() -> dict:
     return {
         "op1_quality_llr": quality.op1_quality_llr,
+        "op2_ogg_media": ogg.op2_ogg_media,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op5_url_filter": urls.op5_url_filter,
         "op6_token_blocks": tokens.op6_token_blocks,
         "op7_mixing": mixing.op7_mixing,

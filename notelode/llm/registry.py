@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from notelode.llm import mixing, ogg, pieces, quality, tokens, toxicity, urls
+from notelode.llm import mixing, neardup, ogg, pieces, quality, tokens, toxicity, urls
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_token_blocks": tokens.op6_token_blocks,
         "op7_mixing": mixing.op7_mixing,
         "op9_sentencepiece": pieces.op9_sentencepiece,
+        "op10_minhash_icws": neardup.op10_minhash_icws,
     }
 
 

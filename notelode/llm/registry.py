@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from notelode.llm import mixing, neardup, ogg, pieces, quality, tokens, toxicity, urls
+import corpus_pipeline
+from notelode.llm import mixing, neardup, ogg, pieces, quality, secrets, tokens, toxicity, urls
 
 
 def queries() -> dict:
@@ -13,8 +14,10 @@ def queries() -> dict:
         "op5_url_filter": urls.op5_url_filter,
         "op6_token_blocks": tokens.op6_token_blocks,
         "op7_mixing": mixing.op7_mixing,
+        "op8_secret_forest": secrets.op8_secret_forest,
         "op9_sentencepiece": pieces.op9_sentencepiece,
         "op10_minhash_icws": neardup.op10_minhash_icws,
+        "pipeline": corpus_pipeline.run,
     }
 
 

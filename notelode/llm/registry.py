@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from notelode.llm import mixing, neardup, ogg, pieces, quality, secrets, tokens, toxicity, urls
+from notelode.llm import mixing, neardup, ogg, phrases, pieces, quality, secrets, tokens, toxicity, urls
 
 
 def queries() -> dict:
     return {
         "op1_quality_llr": quality.op1_quality_llr,
         "op2_ogg_media": ogg.op2_ogg_media,
+        "op3_phrase_automata": phrases.op3_phrase_automata,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_url_filter": urls.op5_url_filter,
         "op6_token_blocks": tokens.op6_token_blocks,

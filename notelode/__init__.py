@@ -1 +1,21 @@
 """Spark-native analytics over document knowledge bases."""
+
+from __future__ import annotations
+
+
+def _load() -> None:
+    from notelode.operators import semantic  # noqa: F401
+
+
+def all_queries() -> dict:
+    from notelode.plans.catalog import QUERIES
+
+    _load()
+    return dict(QUERIES)
+
+
+def all_sql() -> dict:
+    from notelode.plans.catalog import SQL
+
+    _load()
+    return dict(SQL)

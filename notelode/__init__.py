@@ -4,7 +4,8 @@ from __future__ import annotations
 
 
 def _load() -> None:
-    from notelode.operators import semantic  # noqa: F401
+    from notelode.operators import links, retrieval, semantic, similarity, text  # noqa: F401
+    from notelode.streaming import changes  # noqa: F401
 
 
 def all_queries() -> dict:

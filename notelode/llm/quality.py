@@ -85,7 +85,8 @@ def by_gram(seen: DataFrame, buckets: int, *keep: str) -> DataFrame:
 
 def bucket_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[float]:
     """For each bin the log of target share over raw share, add-one smoothed: ``buckets`` numbers from all documents."""
-    marked = docs.select("doc_id", "text").join(trusted.select("doc_id").distinct().withColumn("_q", F.lit(1)), "doc_id", "left")
+    # by merge at any size: labels grow with the documents
+    marked = docs.select("doc_id", "text").hint("merge").join(trusted.select("doc_id").distinct().withColumn("_q", F.lit(1)), "doc_id", "left")
     marked = with_words(marked.select("text", F.coalesce("_q", F.lit(0)).alias("_q")))
     rows = (
         by_gram(marked, buckets, "_q")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def scan_notes(spark: SparkSession, folder: str) -> DataFrame:
     """path, name, body, size, modified of every Markdown file below folder, without hidden ones."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").option("wholetext", True).text(folder)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     m = F.col("_metadata")
     rows = files.select(m["file_path"].alias("path"), m["file_name"].alias("name"), F.col("value").alias("body"), m["file_size"].alias("size"), m["file_modification_time"].alias("modified"))
     return rows.where(~F.col("path").rlike(r"/\.[^/]"))

@@ -33,8 +33,8 @@ SHINGLE = 5
 LEAST = 0.8
 BANDS, ROWS = 10, 3
 BUCKETS = 1 << 18
-#: Leaders of a bucket in a further round.
-LEADERS = 16
+#: Pairs of a bucket in a further round, about; it has so many leaders as this over its texts, from 4 to 256.
+ROUND_PAIRS = 1 << 16
 SLACK = 0.1
 LEVELS = 4096
 
@@ -145,17 +145,19 @@ def sketches(docs: DataFrame, idf: np.ndarray, bands: int, rows: int) -> DataFra
     return rows_in.mapInPandas(run, "doc_id long, a long, b long, keys array<long>")
 
 
-def vectors(docs: DataFrame) -> DataFrame:
-    """doc_id, h, n: each text's different shingles in ascending order and their numbers, as bytes."""
+def vectors(docs: DataFrame, idf: np.ndarray) -> DataFrame:
+    """doc_id, h, n: each text's different shingles in ascending order and their numbers, as bytes; c, s: how many they
+    are, and the sum of their weights."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             hashes, times, counts = weighted(b["text"].tolist())
+            weights = times * idf[(hashes % np.uint64(len(idf))).astype(np.int64)]
             cut = np.cumsum(counts)[:-1]
-            h, n = np.split(hashes, cut), np.split(times.astype(np.uint32), cut)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "h": [x.tobytes() for x in h], "n": [x.tobytes() for x in n]})
+            h, n, w = np.split(hashes, cut), np.split(times.astype(np.uint32), cut), np.split(weights, cut)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "h": [x.tobytes() for x in h], "n": [x.tobytes() for x in n], "c": counts, "s": [float(x.sum()) for x in w]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, h binary, n binary")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, h binary, n binary, c long, s double")
 
 
 def bin_weights(counts: np.ndarray, n: int) -> np.ndarray:
@@ -175,6 +177,14 @@ def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray
     return max(float(both / total), len(i) / (len(x[0]) + len(y[0]) - len(i)))
 
 
+def comparable(pairs: DataFrame, vecs: DataFrame, least: float) -> DataFrame:
+    """The pairs (doc, leader) whose sizes allow a similarity of least, plain or weighted."""
+    sizes = vecs.select("doc_id", "c", "s")
+    rows = pairs.join(sizes.toDF("doc", "c", "s"), "doc").join(sizes.toDF("leader", "d", "t"), "leader")
+    part = lambda x, y: F.least(x, y) >= least * F.greatest(x, y) * (1 - 1e-6)
+    return rows.where(part("c", "d") | part("s", "t")).select("doc", "leader")
+
+
 def compared(pairs: DataFrame, vecs: DataFrame, idf: np.ndarray) -> DataFrame:
     """pairs (doc, leader) with sim."""
 
@@ -184,7 +194,7 @@ def compared(pairs: DataFrame, vecs: DataFrame, idf: np.ndarray) -> DataFrame:
             sims = [similarity(vec(h, n), vec(g, m), idf) for h, n, g, m in zip(b["h"], b["n"], b["lh"], b["ln"], strict=True)]
             yield pd.DataFrame({"doc": b["doc"], "leader": b["leader"], "sim": np.round(sims, 9)})
 
-    full = pairs.join(vecs.withColumnRenamed("doc_id", "doc"), "doc").join(vecs.selectExpr("doc_id as leader", "h as lh", "n as ln"), "leader")
+    full = pairs.join(vecs.selectExpr("doc_id as doc", "h", "n"), "doc").join(vecs.selectExpr("doc_id as leader", "h as lh", "n as ln"), "leader")
     return full.mapInPandas(run, "doc long, leader long, sim double")
 
 
@@ -201,7 +211,7 @@ def components(links: DataFrame) -> DataFrame:
         jump = labels.selectExpr("node as comp", "comp as far")
         lower = stored(lower.join(jump, "comp").selectExpr("node", "old", "least(comp, far) as comp"))
         labels = lower.select("node", "comp")
-        if not lower.where("comp <> old").limit(1).count():
+        if lower.where("comp <> old").isEmpty():
             return labels
 
 
@@ -212,38 +222,43 @@ def links_of(texts: DataFrame, vecs: DataFrame, idf: np.ndarray, least: float) -
     heads = rows.groupBy("bucket").agg(F.min("doc").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = stored(rows.join(heads, "bucket"))
     pairs = stored(members.where("doc <> leader").select("doc", "leader").distinct())
-    if not pairs.limit(1).count():
+    if pairs.isEmpty():
         return None
     needed = stored(pairs.select("doc").union(pairs.select("leader")).distinct().withColumnRenamed("doc", "doc_id"))
     vecs = stored(vecs(needed))
-    sims = stored(compared(pairs, vecs, idf))
+    sims = stored(compared(comparable(pairs, vecs, least), vecs, idf))
     tried = members.select("bucket", "leader").distinct()
     members = members.select("bucket", "doc")
+    found = sims.where(F.col("sim") >= least).selectExpr("doc as x", "leader as y")
+    comps = components(found)
     while True:
-        found = sims.where(F.col("sim") >= least).selectExpr("doc as x", "leader as y")
-        comps = components(found) if found.limit(1).count() else sims.selectExpr("doc as node", "doc as comp").limit(0)
         tagged = members.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", F.coalesce("comp", "doc").alias("comp"))
-        mixed_up = tagged.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-        tagged = stored(tagged.join(mixed_up, "bucket"))
-        if not tagged.limit(1).count():
-            return found, comps
+        several = tagged.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", "n")
+        tagged = stored(tagged.join(several, "bucket"))
         # what each member of a bucket of several classes knows of the bucket's leaders
         heads = tried.join(tagged.selectExpr("bucket", "doc as leader", "comp as leader_comp"), ["bucket", "leader"])
         known = tagged.join(heads, "bucket").join(sims, ["doc", "leader"], "left")
-        known = known.groupBy("bucket", "doc", "comp").agg(
+        known = known.groupBy("bucket", "doc", "comp", "n").agg(
             F.max(F.col("doc") == F.col("leader")).alias("was"),
             F.max(F.coalesce(F.col("sim") >= least, F.lit(False))).alias("linked"),
             F.max(F.coalesce((F.col("sim") >= 2 * least - 1 - SLACK) & (F.col("comp") != F.col("leader_comp")), F.lit(False))).alias("near"),
         )
         lead = known.where(~F.col("was") & (~F.col("linked") | F.col("near")))
-        lead = lead.groupBy("bucket", F.pmod(F.xxhash64("doc"), F.lit(LEADERS)).alias("turn")).agg(F.min_by(F.struct("doc", "comp"), "doc").alias("c"))
+        turns = F.greatest(F.lit(4), F.least(F.lit(256), F.floor(ROUND_PAIRS / F.col("n"))))
+        lead = lead.groupBy("bucket", F.pmod(F.xxhash64("doc"), turns).alias("turn")).agg(F.min_by(F.struct("doc", "comp"), "doc").alias("c"))
         lead = stored(lead.selectExpr("bucket", "c.doc as leader", "c.comp as leader_comp"))
-        if not lead.limit(1).count():
+        if lead.isEmpty():
             return found, comps
         pairs = tagged.join(lead, "bucket").where("doc <> leader and comp <> leader_comp").select("doc", "leader").distinct()
-        pairs = stored(pairs.join(sims, ["doc", "leader"], "left_anti"))
-        sims = stored(sims.unionByName(compared(pairs, vecs, idf)))
+        pairs = stored(comparable(pairs, vecs, least).join(sims, ["doc", "leader"], "left_anti"))
         tried = stored(tried.union(lead.select("bucket", "leader")).distinct())
+        if pairs.isEmpty():
+            continue
+        new = stored(compared(pairs, vecs, idf))
+        sims = sims.unionByName(new)
+        if not new.where(F.col("sim") >= least).isEmpty():
+            found = sims.where(F.col("sim") >= least).selectExpr("doc as x", "leader as y")
+            comps = components(found)
 
 
 def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, buckets: int = BUCKETS) -> DataFrame:
@@ -255,7 +270,7 @@ def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int
     texts = stored(sketch.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("keys").alias("keys")))
     out = sketch.select("doc_id", "a", "b").distinct().join(texts.where("n > 1").select("a", "b", F.col("doc_id").alias("first")), ["a", "b"], "left")
     out = out.select("doc_id", F.coalesce("first", "doc_id").alias("copy_of"))
-    got = links_of(texts.where("keys is not null").select("doc_id", "keys"), lambda ids: vectors(docs.hint("merge").join(ids, "doc_id", "left_semi")), idf, least)
+    got = links_of(texts.where("keys is not null").select("doc_id", "keys"), lambda ids: vectors(docs.hint("merge").join(ids, "doc_id", "left_semi"), idf), idf, least)
     if got is None:
         return out.select("*", F.col("copy_of").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     links, comps = got

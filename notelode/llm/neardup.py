@@ -3,7 +3,7 @@
 Shingles are runs of five words (all words of a shorter text). Document frequencies are counted over all documents in
 ``buckets`` hash bins; a shingle weighs its count times ln(1 + documents / frequency of its bin), but a frequent one no
 less than half of a rare one, or a large group of near copies would hide itself by making its own text frequent. ICWS draws one shingle for each of bands x rows hash functions, with chances in proportion to weights;
-texts that agree on a whole band are candidates, and candidates are linked if their weighted Jaccard similarity, computed
+texts that agree on a whole band and are of like size are candidates, and candidates are linked if their weighted Jaccard similarity, computed
 from all their shingles, is ``least`` or more, or their plain Jaccard similarity is. Classes are the connected components of the links.
 
 Exact copies are one text from the start. Within a bucket (texts that agree on a band) no all-pairs are made: each text is
@@ -31,7 +31,7 @@ from notelode.llm.wordhash import mixed, run_hashes, word_hashes
 
 SHINGLE = 5
 LEAST = 0.8
-BANDS, ROWS = 10, 3
+BANDS, ROWS = 12, 4
 BUCKETS = 1 << 18
 #: Pairs of a bucket in a further round, about; it has so many leaders as this over its texts, from 4 to 256.
 ROUND_PAIRS = 1 << 16
@@ -127,22 +127,25 @@ def frequencies(docs: DataFrame, buckets: int) -> tuple[np.ndarray, int]:
 
 
 def sketches(docs: DataFrame, idf: np.ndarray, bands: int, rows: int) -> DataFrame:
-    """doc_id, a, b (128 bits of the text's hash), keys (array of bands; null without words)."""
+    """doc_id, a, b (128 bits of the text's hash), keys (array of bands; null without words), size (sum of weights)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             hashes, times, counts = weighted(b["text"].tolist())
             keys = np.full(len(b), None, object)
+            sizes = np.zeros(len(b))
             some = np.flatnonzero(counts)
             if len(some):
-                got = signatures(hashes, times * idf[(hashes % np.uint64(len(idf))).astype(np.int64)], counts[some], bands, rows)
+                weights = times * idf[(hashes % np.uint64(len(idf))).astype(np.int64)]
+                sizes[some] = np.add.reduceat(weights.astype(np.float64), (np.cumsum(counts) - counts)[some])
+                got = signatures(hashes, weights, counts[some], bands, rows)
                 for i, x in zip(some.tolist(), got.view(np.int64), strict=True):
                     keys[i] = x
-            yield pd.DataFrame({"doc_id": b["doc_id"], "a": b["a"], "b": b["b"], "keys": keys})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "a": b["a"], "b": b["b"], "keys": keys, "size": sizes})
 
     text = F.coalesce("text", F.lit(""))
     rows_in = docs.where("doc_id is not null").select("doc_id", text.alias("text"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), F.reverse(text)).alias("b"))
-    return rows_in.mapInPandas(run, "doc_id long, a long, b long, keys array<long>")
+    return rows_in.mapInPandas(run, "doc_id long, a long, b long, keys array<long>, size double")
 
 
 def vectors(docs: DataFrame, idf: np.ndarray) -> DataFrame:
@@ -216,9 +219,15 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def links_of(texts: DataFrame, vecs: DataFrame, idf: np.ndarray, least: float) -> tuple[DataFrame, DataFrame] | None:
-    """All links (x, y) found among texts (doc_id, keys) and the components they make; None if no band is shared."""
-    rows = texts.select(F.col("doc_id").alias("doc"), F.posexplode("keys").alias("band", "key"))
-    rows = rows.select(F.xxhash64("band", "key").alias("bucket"), "doc")
+    """All links (x, y) found among texts (doc_id, keys, size) and the components they make; None if no band is shared.
+
+    Linked texts differ in size by a factor of ``least`` at most, so a text goes to its own size class and the next, and
+    buckets are told apart by them: texts that share a passage but are unlike do not meet.
+    """
+    step = F.floor(F.log("size") / (-1.1 * np.log(least)))
+    rows = texts.select(F.col("doc_id").alias("doc"), step.alias("step"), F.posexplode("keys").alias("band", "key"))
+    rows = rows.withColumn("step", F.explode(F.array("step", F.col("step") + 1)))
+    rows = rows.select(F.xxhash64("band", "key", "step").alias("bucket"), "doc")
     heads = rows.groupBy("bucket").agg(F.min("doc").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = stored(rows.join(heads, "bucket"))
     pairs = stored(members.where("doc <> leader").select("doc", "leader").distinct())
@@ -267,10 +276,10 @@ def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int
     counts, n = frequencies(docs, buckets)
     idf = bin_weights(counts, n)
     sketch = stored(sketches(docs, idf, bands, rows))
-    texts = stored(sketch.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("keys").alias("keys")))
+    texts = stored(sketch.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("keys").alias("keys"), F.first("size").alias("size")))
     out = sketch.select("doc_id", "a", "b").distinct().join(texts.where("n > 1").select("a", "b", F.col("doc_id").alias("first")), ["a", "b"], "left")
     out = out.select("doc_id", F.coalesce("first", "doc_id").alias("copy_of"))
-    got = links_of(texts.where("keys is not null").select("doc_id", "keys"), lambda ids: vectors(docs.hint("merge").join(ids, "doc_id", "left_semi"), idf), idf, least)
+    got = links_of(texts.where("keys is not null").select("doc_id", "keys", "size"), lambda ids: vectors(docs.hint("merge").join(ids, "doc_id", "left_semi"), idf), idf, least)
     if got is None:
         return out.select("*", F.col("copy_of").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     links, comps = got

@@ -194,9 +194,10 @@ class Pieces:
             np.multiply.accumulate(self.up, out=self.up)
             np.multiply.accumulate(self.down, out=self.down)
 
-    def learn(self, new: list[str]) -> list[np.ndarray]:
-        """The ids of new pieces. Many go to the library as one text: it cuts them apart again where they were joined."""
-        out: list = [None] * len(new)
+    def learn(self, new: list[str]) -> np.ndarray:
+        """Keep the ids of new pieces; returns where. Many go to the library as one text: it cuts them apart again where
+        they were joined."""
+        where = np.full(len(new), -1, np.int64)
         plain = [i for i, x in enumerate(new) if x[0] == " " and len(x) > 1 and not x[1].isspace() and not x[-1].isspace()]
         for at in range(0, len(plain), 4000):
             part = plain[at : at + 4000]
@@ -205,12 +206,19 @@ class Pieces:
             reached = np.cumsum(self.n_bytes[ids])
             cut = np.searchsorted(reached, ends) + 1
             if reached[-1] == ends[-1] and (reached[cut - 1] == ends).all():
-                for i, x in zip(part, np.split(ids, cut[:-1]), strict=True):
-                    out[i] = x
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(rest, self.of.encode_batch_fast([new[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, np.uint32)
-        return out
+                where[part] = self.keep(ids, np.diff(cut, prepend=0))
+        rest = np.flatnonzero(where < 0).tolist()
+        if rest:
+            got = [e.ids for e in self.of.encode_batch_fast([new[i] for i in rest], add_special_tokens=False)]
+            where[rest] = self.keep(np.array([x for ids in got for x in ids], np.uint32), np.array(list(map(len, got)), np.int64))
+        return where
+
+    def keep(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        first = len(self.begin)
+        self.begin.frombytes((len(self.ids) + np.cumsum(counts) - counts).astype(np.int64).tobytes())
+        self.count.frombytes(counts.astype(np.int64).tobytes())
+        self.ids.frombytes(ids.tobytes())
+        return np.arange(first, first + len(counts))
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id, and the number of each text's ids."""
@@ -227,7 +235,9 @@ class Pieces:
         before, after = data[at - 1], data[at + 1]
         at = at[_SOLID[before] & _SOLID[after] & ~(_ODD[before] & _BEFORE[data[at - 2]]) & ~_LEAD[after]]
         firsts = np.concatenate(([0], np.cumsum(lengths)))
-        starts = np.union1d(at, firsts[:-1][lengths > 0])
+        begins = np.zeros(n, bool)
+        begins[at] = begins[firsts[:-1][lengths > 0]] = True
+        starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], n)
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * self.up[:n])))
         keys = (sums[ends] - sums[starts]) * self.down[starts] ^ ((ends - starts).astype(np.uint64) << np.uint64(56))
@@ -239,11 +249,9 @@ class Pieces:
         new = [i for i, x in enumerate(known) if x < 0]
         if new:
             s, e = starts[first].tolist(), ends[first].tolist()
-            for i, ids in zip(new, self.learn([raw[s[i] : e[i]].decode("utf-8", "surrogatepass") for i in new]), strict=True):
-                known[i] = self.met[names[i]] = len(self.begin)
-                self.begin.append(len(self.ids))
-                self.count.append(len(ids))
-                self.ids.frombytes(ids.tobytes())
+            where = self.learn([raw[s[i] : e[i]].decode("utf-8", "surrogatepass") for i in new]).tolist()
+            for i, k in zip(new, where, strict=True):
+                known[i] = self.met[names[i]] = k
         piece = np.array(known, np.int64)[of]
         count = np.array(self.count, np.int64)[piece]
         # ids go behind those of the pieces before, with one place left for the end id of each text before

@@ -10,7 +10,8 @@ Exact copies are one text from the start. Within a bucket (texts that agree on a
 compared with the bucket's leader. One minus Jaccard similarity is a metric, so a link between two texts that this does
 not see is only possible if one of them is within twice the link distance of a leader without being linked to its class
 (``SLACK`` more is allowed for the two measures), or is near no leader; such texts become leaders in further rounds, until
-none is left. No bucket is cut.
+none is left. No bucket is cut, and no pair is left out for its sizes: those of a bucket are never further apart than texts
+that are near (``2 * least - 1 - SLACK``).
 
 Null texts count as empty. Texts without words are alike only to exact copies. Ties go to the smaller doc_id, and a class
 is named by its least doc_id. Rows that repeat a doc_id with the same text count as one document; null doc_ids are left
@@ -148,19 +149,17 @@ def sketches(docs: DataFrame, idf: np.ndarray, bands: int, rows: int) -> DataFra
     return rows_in.mapInPandas(run, "doc_id long, a long, b long, keys array<long>, size double")
 
 
-def vectors(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """doc_id, h, n: each text's different shingles in ascending order and their numbers, as bytes; c, s: how many they
-    are, and the sum of their weights."""
+def vectors(docs: DataFrame) -> DataFrame:
+    """doc_id, h, n: each text's different shingles in ascending order and their numbers, as bytes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             hashes, times, counts = weighted(b["text"].tolist())
-            weights = times * idf[(hashes % np.uint64(len(idf))).astype(np.int64)]
             cut = np.cumsum(counts)[:-1]
-            h, n, w = np.split(hashes, cut), np.split(times.astype(np.uint32), cut), np.split(weights, cut)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "h": [x.tobytes() for x in h], "n": [x.tobytes() for x in n], "c": counts, "s": [float(x.sum()) for x in w]})
+            h, n = np.split(hashes, cut), np.split(times.astype(np.uint32), cut)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "h": [x.tobytes() for x in h], "n": [x.tobytes() for x in n]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, h binary, n binary, c long, s double")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, h binary, n binary")
 
 
 def bin_weights(counts: np.ndarray, n: int) -> np.ndarray:
@@ -180,14 +179,6 @@ def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray
     return max(float(both / total), len(i) / (len(x[0]) + len(y[0]) - len(i)))
 
 
-def comparable(pairs: DataFrame, vecs: DataFrame, least: float) -> DataFrame:
-    """The pairs (doc, leader) whose sizes allow a similarity of least, plain or weighted."""
-    sizes = vecs.select("doc_id", "c", "s")
-    rows = pairs.join(sizes.toDF("doc", "c", "s"), "doc").join(sizes.toDF("leader", "d", "t"), "leader")
-    part = lambda x, y: F.least(x, y) >= least * F.greatest(x, y) * (1 - 1e-6)
-    return rows.where(part("c", "d") | part("s", "t")).select("doc", "leader")
-
-
 def compared(pairs: DataFrame, vecs: DataFrame, idf: np.ndarray) -> DataFrame:
     """pairs (doc, leader) with sim."""
 
@@ -235,7 +226,7 @@ def links_of(texts: DataFrame, vecs: DataFrame, idf: np.ndarray, least: float) -
         return None
     needed = stored(pairs.select("doc").union(pairs.select("leader")).distinct().withColumnRenamed("doc", "doc_id"))
     vecs = stored(vecs(needed))
-    sims = stored(compared(comparable(pairs, vecs, least), vecs, idf))
+    sims = stored(compared(pairs, vecs, idf))
     tried = members.select("bucket", "leader").distinct()
     members = members.select("bucket", "doc")
     found = sims.where(F.col("sim") >= least).selectExpr("doc as x", "leader as y")
@@ -259,7 +250,7 @@ def links_of(texts: DataFrame, vecs: DataFrame, idf: np.ndarray, least: float) -
         if lead.isEmpty():
             return found, comps
         pairs = tagged.join(lead, "bucket").where("doc <> leader and comp <> leader_comp").select("doc", "leader").distinct()
-        pairs = stored(comparable(pairs, vecs, least).join(sims, ["doc", "leader"], "left_anti"))
+        pairs = stored(pairs.join(sims, ["doc", "leader"], "left_anti"))
         tried = stored(tried.union(lead.select("bucket", "leader")).distinct())
         if pairs.isEmpty():
             continue
@@ -279,7 +270,7 @@ def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int
     texts = stored(sketch.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("keys").alias("keys"), F.first("size").alias("size")))
     out = sketch.select("doc_id", "a", "b").distinct().join(texts.where("n > 1").select("a", "b", F.col("doc_id").alias("first")), ["a", "b"], "left")
     out = out.select("doc_id", F.coalesce("first", "doc_id").alias("copy_of"))
-    got = links_of(texts.where("keys is not null").select("doc_id", "keys", "size"), lambda ids: vectors(docs.hint("merge").join(ids, "doc_id", "left_semi"), idf), idf, least)
+    got = links_of(texts.where("keys is not null").select("doc_id", "keys", "size"), lambda ids: vectors(docs.hint("merge").join(ids, "doc_id", "left_semi")), idf, least)
     if got is None:
         return out.select("*", F.col("copy_of").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     links, comps = got

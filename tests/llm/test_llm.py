@@ -258,6 +258,18 @@ def test_neardup_against_brute_force(spark):
     assert neardup.classes(table(spark, EMPTY)).count() == 0 and neardup.classes(table(spark, [None, "", "x"])).where("class_id <> 0").count() == 1
 
 
+def test_neardup_finds_a_link_between_members_of_two_leaders(spark):
+    """Nested texts of 100, 132, 105, 126 shingles in one bucket: 105 and 126 are linked, but not to each other's leader."""
+    turns = spark.range(5000).selectExpr("id", "pmod(xxhash64(id), 256) AS t").collect()
+    ids = [r.id for r in turns if r.t == turns[0].t][:4]
+    words = [f"w{k}" for k in range(200)]
+    docs = spark.createDataFrame([(i, " ".join(words[: n + 4])) for i, n in zip(ids, (100, 132, 105, 126), strict=True)], "doc_id long, text string")
+    texts = docs.selectExpr("doc_id", "array(7L) AS keys", "array(7L) AS plain", "110D AS size", "110L AS distinct")
+    idf = np.ones(16, np.float32)
+    _, comps = neardup.links_of(texts, lambda wanted: neardup.vectors(docs.join(wanted, "doc_id", "left_semi")), idf, 0.8)
+    assert {r.node: r.comp for r in comps.collect()} == dict.fromkeys(ids, ids[0])
+
+
 def test_icws_agrees_as_weighted_jaccard():
     rng = np.random.default_rng(3)
     h = np.sort(rng.integers(0, 2**63, 300).astype(np.uint64))

@@ -2,15 +2,18 @@
 
 Shingles are runs of five words (all words of a shorter text). Document frequencies are counted over all documents in
 ``buckets`` hash bins; a shingle weighs its count times ln(1 + documents / frequency of its bin), but a frequent one no
-less than half of a rare one, or a large group of near copies would hide itself by making its own text frequent. ICWS draws one shingle for each of bands x rows hash functions, with chances in proportion to weights;
-texts that agree on a whole band and are of like size are candidates, and candidates are linked if their weighted Jaccard similarity, computed
-from all their shingles, is ``least`` or more, or their plain Jaccard similarity is. Classes are the connected components of the links.
+less than half of a rare one, or a large group of near copies would hide itself by making its own text frequent. ICWS draws
+one shingle for each of bands x rows hash functions, with chances in proportion to weights, and once more with all weights
+1: the first finds texts of like weighted shingles, the second texts of like sets of shingles, however often one repeats
+them. Texts that agree on a whole band of a measure and are of like size by that measure are candidates, and candidates are
+linked if their weighted or their plain Jaccard similarity, computed from all their shingles, is ``least`` or more. Classes
+are the connected components of the links.
 
 Exact copies are one text from the start. Within a bucket (texts that agree on a band) no all-pairs are made: each text is
-compared with the bucket's leader. One minus Jaccard similarity is a metric, so a link between two texts that this does
-not see is only possible if one of them is within twice the link distance of a leader without being linked to its class
-(``SLACK`` more is allowed for the two measures), or is near no leader; such texts become leaders in further rounds, until
-none is left. No bucket is cut, and no pair is left out for its sizes: those of a bucket are never further apart than texts
+compared with the bucket's leader. One minus Jaccard similarity is a metric by either measure, so a link by the bucket's
+measure between two texts that this does not see is only possible if one of them is within twice the link distance of a
+leader (``SLACK`` more is allowed) without being linked to its class, or is linked by the bucket's measure to no leader;
+such texts become leaders in further rounds, until none is left. No bucket is cut, and no pair is left out for its sizes: those of a bucket are never further apart than texts
 that are near (``2 * least - 1 - SLACK``).
 
 Null texts count as empty. Texts without words are alike only to exact copies. Ties go to the smaller doc_id, and a class
@@ -32,7 +35,7 @@ from notelode.llm.wordhash import mixed, run_hashes, word_hashes
 
 SHINGLE = 5
 LEAST = 0.8
-BANDS, ROWS = 12, 4
+BANDS, ROWS = 14, 4
 BUCKETS = 1 << 18
 #: Pairs of a bucket in a further round, about; it has so many leaders as this over its texts, from 4 to 256.
 ROUND_PAIRS = 1 << 16
@@ -80,29 +83,35 @@ LOG_GAMMA = np.log(GAMMA)
 
 
 def signatures(hashes: np.ndarray, weights: np.ndarray, counts: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """texts x bands: a key of each band's samples; counts must all be 1 or more.
+    """texts x bands: a key of each band's samples; counts must all be 1 or more."""
+    return signatures_of(hashes, [weights], counts, bands, rows)[0]
+
+
+def signatures_of(hashes: np.ndarray, weightings: list[np.ndarray], counts: np.ndarray, bands: int, rows: int) -> list[np.ndarray]:
+    """The signatures by each of several weightings of the same shingles.
 
     A hash function has for each shingle r and c of law Gamma(2, 1) and b uniform, all from the shingle's hash. It samples
     the shingle of least log(c) - r * (t - b) - r, where t = floor(log(weight) / r + b), together with t.
     """
-    log_weight = np.log(weights).astype(np.float32)
+    log_weights = [np.log(w).astype(np.float32) for w in weightings]
     first = np.cumsum(counts) - counts
     text = np.repeat(np.arange(len(counts)), counts)
-    keys = np.zeros((len(counts), bands), np.uint64)
+    out = [np.zeros((len(counts), bands), np.uint64) for _ in weightings]
     for k in range(bands * rows):
         x = mixed(hashes + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
         r = GAMMA[(x & np.uint64(LEVELS - 1)).astype(np.int64)]
         log_c = LOG_GAMMA[((x >> np.uint64(12)) & np.uint64(LEVELS - 1)).astype(np.int64)]
         b = ((x >> np.uint64(24)) & np.uint64(0xFFFFF)).astype(np.float32) * np.float32(2**-20)
-        t = np.floor(log_weight / r + b)
-        value = log_c - r * (t - b) - r
-        least = np.minimum.reduceat(value, first)
-        at = np.flatnonzero(value == least[text])
-        _, one = np.unique(text[at], return_index=True)
-        at = at[one]
-        sample = mixed(hashes[at] ^ mixed(t[at].astype(np.int64).astype(np.uint64)))
-        keys[:, k // rows] = mixed(keys[:, k // rows] * np.uint64(31) + sample)
-    return keys
+        for log_weight, keys in zip(log_weights, out, strict=True):
+            t = np.floor(log_weight / r + b)
+            value = log_c - r * (t - b) - r
+            least = np.minimum.reduceat(value, first)
+            at = np.flatnonzero(value == least[text])
+            _, one = np.unique(text[at], return_index=True)
+            at = at[one]
+            sample = mixed(hashes[at] ^ mixed(t[at].astype(np.int64).astype(np.uint64)))
+            keys[:, k // rows] = mixed(keys[:, k // rows] * np.uint64(31) + sample)
+    return out
 
 
 # --- Spark --------------------------------------------------------------------------------------------------------------
@@ -128,25 +137,26 @@ def frequencies(docs: DataFrame, buckets: int) -> tuple[np.ndarray, int]:
 
 
 def sketches(docs: DataFrame, idf: np.ndarray, bands: int, rows: int) -> DataFrame:
-    """doc_id, a, b (128 bits of the text's hash), keys (array of bands; null without words), size (sum of weights)."""
+    """doc_id, a, b (128 bits of the text's hash); keys and plain, the keys of the bands by weights and by weights of 1 (null
+    without words); size, the sum of weights; distinct, the number of different shingles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             hashes, times, counts = weighted(b["text"].tolist())
-            keys = np.full(len(b), None, object)
+            keys, plain = np.full(len(b), None, object), np.full(len(b), None, object)
             sizes = np.zeros(len(b))
             some = np.flatnonzero(counts)
             if len(some):
                 weights = times * idf[(hashes % np.uint64(len(idf))).astype(np.int64)]
                 sizes[some] = np.add.reduceat(weights.astype(np.float64), (np.cumsum(counts) - counts)[some])
-                got = signatures(hashes, weights, counts[some], bands, rows)
-                for i, x in zip(some.tolist(), got.view(np.int64), strict=True):
-                    keys[i] = x
-            yield pd.DataFrame({"doc_id": b["doc_id"], "a": b["a"], "b": b["b"], "keys": keys, "size": sizes})
+                got = signatures_of(hashes, [weights, np.ones(len(hashes), np.float32)], counts[some], bands, rows)
+                for i, x, y in zip(some.tolist(), *(g.view(np.int64) for g in got), strict=True):
+                    keys[i], plain[i] = x, y
+            yield pd.DataFrame({"doc_id": b["doc_id"], "a": b["a"], "b": b["b"], "keys": keys, "plain": plain, "size": sizes, "distinct": counts})
 
     text = F.coalesce("text", F.lit(""))
     rows_in = docs.where("doc_id is not null").select("doc_id", text.alias("text"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), F.reverse(text)).alias("b"))
-    return rows_in.mapInPandas(run, "doc_id long, a long, b long, keys array<long>, size double")
+    return rows_in.mapInPandas(run, "doc_id long, a long, b long, keys array<long>, plain array<long>, size double, distinct long")
 
 
 def vectors(docs: DataFrame) -> DataFrame:
@@ -168,28 +178,28 @@ def bin_weights(counts: np.ndarray, n: int) -> np.ndarray:
     return np.maximum(0.5, idf / np.log1p(max(n, 1))).astype(np.float32)
 
 
-def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> float:
-    """The greater of the weighted and the plain Jaccard similarity of two texts' shingles and numbers."""
+def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> tuple[float, float]:
+    """The weighted and the plain Jaccard similarity of two texts' shingles and numbers."""
     w = [n * idf[(h % np.uint64(len(idf))).astype(np.int64)] for h, n in (x, y)]
     _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
     if not len(i):
-        return 0.0
+        return 0.0, 0.0
     both = np.minimum(w[0][i], w[1][j]).sum(dtype=np.float64)
     total = w[0].sum(dtype=np.float64) + w[1].sum(dtype=np.float64) - both
-    return max(float(both / total), len(i) / (len(x[0]) + len(y[0]) - len(i)))
+    return float(both / total), len(i) / (len(x[0]) + len(y[0]) - len(i))
 
 
 def compared(pairs: DataFrame, vecs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """pairs (doc, leader) with sim."""
+    """pairs (doc, leader) with weighted and plain, their similarities."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             vec = lambda h, n: (np.frombuffer(h, np.uint64), np.frombuffer(n, np.uint32))
             sims = [similarity(vec(h, n), vec(g, m), idf) for h, n, g, m in zip(b["h"], b["n"], b["lh"], b["ln"], strict=True)]
-            yield pd.DataFrame({"doc": b["doc"], "leader": b["leader"], "sim": np.round(sims, 9)})
+            yield pd.DataFrame({"doc": b["doc"], "leader": b["leader"], "weighted": [round(x, 9) for x, _ in sims], "plain": [round(y, 9) for _, y in sims]})
 
     full = pairs.join(vecs.selectExpr("doc_id as doc", "h", "n"), "doc").join(vecs.selectExpr("doc_id as leader", "h as lh", "n as ln"), "leader")
-    return full.mapInPandas(run, "doc long, leader long, sim double")
+    return full.mapInPandas(run, "doc long, leader long, weighted double, plain double")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -210,15 +220,20 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def links_of(texts: DataFrame, vecs: DataFrame, idf: np.ndarray, least: float) -> tuple[DataFrame, DataFrame] | None:
-    """All links (x, y) found among texts (doc_id, keys, size) and the components they make; None if no band is shared.
+    """All links (x, y) found among texts (doc_id, keys, size, plain, distinct) and the components they make; None if no band
+    is shared.
 
-    Linked texts differ in size by a factor of ``least`` at most, so a text goes to its own size class and the next, and
-    buckets are told apart by them: texts that share a passage but are unlike do not meet.
+    Texts linked by weights differ in size by a factor of ``least`` at most, and texts linked by plain similarity so in
+    distinct. Each measure has buckets of its own, by its own keys and size classes; a text goes to its size class and the
+    next. Texts that share a passage but are unlike do not meet. The last bit of a bucket tells its measure.
     """
-    step = F.floor(F.log("size") / (-1.1 * np.log(least)))
-    rows = texts.select(F.col("doc_id").alias("doc"), step.alias("step"), F.posexplode("keys").alias("band", "key"))
+    step = lambda size: F.floor(F.log(size) / (-1.1 * np.log(least)))
+    sides = F.array(*(F.struct(F.lit(k).alias("measure"), step(size).alias("step"), F.col(keys).alias("keys")) for k, size, keys in ((0, "size", "keys"), (1, "distinct", "plain"))))
+    rows = texts.select(F.col("doc_id").alias("doc"), F.explode(sides).alias("side")).select("doc", "side.measure", "side.step", F.posexplode("side.keys").alias("band", "key"))
     rows = rows.withColumn("step", F.explode(F.array("step", F.col("step") + 1)))
-    rows = rows.select(F.xxhash64("band", "key", "step").alias("bucket"), "doc")
+    rows = rows.select((F.shiftleft(F.xxhash64("measure", "band", "key", "step"), 1) + F.col("measure")).alias("bucket"), "doc")
+    own = F.when(F.col("bucket").bitwiseAND(1) == 1, F.col("plain")).otherwise(F.col("weighted"))
+    alike = F.greatest("weighted", "plain") >= least
     heads = rows.groupBy("bucket").agg(F.min("doc").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = stored(rows.join(heads, "bucket"))
     pairs = stored(members.where("doc <> leader").select("doc", "leader").distinct())
@@ -229,7 +244,7 @@ def links_of(texts: DataFrame, vecs: DataFrame, idf: np.ndarray, least: float) -
     sims = stored(compared(pairs, vecs, idf))
     tried = members.select("bucket", "leader").distinct()
     members = members.select("bucket", "doc")
-    found = sims.where(F.col("sim") >= least).selectExpr("doc as x", "leader as y")
+    found = sims.where(alike).selectExpr("doc as x", "leader as y")
     comps = components(found)
     while True:
         tagged = members.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", F.coalesce("comp", "doc").alias("comp"))
@@ -240,8 +255,8 @@ def links_of(texts: DataFrame, vecs: DataFrame, idf: np.ndarray, least: float) -
         known = tagged.join(heads, "bucket").join(sims, ["doc", "leader"], "left")
         known = known.groupBy("bucket", "doc", "comp", "n").agg(
             F.max(F.col("doc") == F.col("leader")).alias("was"),
-            F.max(F.coalesce(F.col("sim") >= least, F.lit(False))).alias("linked"),
-            F.max(F.coalesce((F.col("sim") >= 2 * least - 1 - SLACK) & (F.col("comp") != F.col("leader_comp")), F.lit(False))).alias("near"),
+            F.max(F.coalesce(own >= least, F.lit(False))).alias("linked"),
+            F.max(F.coalesce((own >= 2 * least - 1 - SLACK) & (F.col("comp") != F.col("leader_comp")), F.lit(False))).alias("near"),
         )
         lead = known.where(~F.col("was") & (~F.col("linked") | F.col("near")))
         turns = F.greatest(F.lit(4), F.least(F.lit(256), F.floor(ROUND_PAIRS / F.col("n"))))
@@ -256,8 +271,8 @@ def links_of(texts: DataFrame, vecs: DataFrame, idf: np.ndarray, least: float) -
             continue
         new = stored(compared(pairs, vecs, idf))
         sims = sims.unionByName(new)
-        if not new.where(F.col("sim") >= least).isEmpty():
-            found = sims.where(F.col("sim") >= least).selectExpr("doc as x", "leader as y")
+        if not new.where(alike).isEmpty():
+            found = sims.where(alike).selectExpr("doc as x", "leader as y")
             comps = components(found)
 
 
@@ -267,10 +282,10 @@ def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int
     counts, n = frequencies(docs, buckets)
     idf = bin_weights(counts, n)
     sketch = stored(sketches(docs, idf, bands, rows))
-    texts = stored(sketch.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("keys").alias("keys"), F.first("size").alias("size")))
+    texts = stored(sketch.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("keys").alias("keys"), F.first("plain").alias("plain"), F.first("size").alias("size"), F.first("distinct").alias("distinct")))
     out = sketch.select("doc_id", "a", "b").distinct().join(texts.where("n > 1").select("a", "b", F.col("doc_id").alias("first")), ["a", "b"], "left")
     out = out.select("doc_id", F.coalesce("first", "doc_id").alias("copy_of"))
-    got = links_of(texts.where("keys is not null").select("doc_id", "keys", "size"), lambda ids: vectors(docs.hint("merge").join(ids, "doc_id", "left_semi")), idf, least)
+    got = links_of(texts.where("keys is not null").select("doc_id", "keys", "size", "plain", "distinct"), lambda ids: vectors(docs.hint("merge").join(ids, "doc_id", "left_semi")), idf, least)
     if got is None:
         return out.select("*", F.col("copy_of").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     links, comps = got

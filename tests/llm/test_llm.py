@@ -270,6 +270,15 @@ def test_neardup_finds_a_link_between_members_of_two_leaders(spark):
     assert {r.node: r.comp for r in comps.collect()} == dict.fromkeys(ids, ids[0])
 
 
+def test_neardup_finds_texts_that_repeat_their_lines(spark):
+    """Like sets of shingles, but one text says all of it five times or its first half nine times."""
+    base = [prose(200, k) for k in range(300, 304)]
+    half = lambda t: " ".join(t.split()[:100])
+    texts = [*base, *[" ".join([t] * 5) for t in base[:2]], *[" ".join([half(t)] * 9 + [t]) for t in base[2:]]]
+    rows = {r.doc_id: r.class_id for r in neardup.classes(table(spark, texts)).collect()}
+    assert rows == {i: i % 4 for i in range(8)}
+
+
 def test_icws_agrees_as_weighted_jaccard():
     rng = np.random.default_rng(3)
     h = np.sort(rng.integers(0, 2**63, 300).astype(np.uint64))

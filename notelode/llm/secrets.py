@@ -1,11 +1,12 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a word that holds a known key prefix, an assignment to a name like password or token, a value that follows
-such a name, or a run of 16 or more key characters with a digit. The forest sees the candidate's length, its character
-classes and the transitions between them, its entropy, how much of it dictionary words cover, whether it looks like a path,
-url or address, and its neighbouring words. It is trained from labelled findings: any table of (before2, before, word,
-after, label), by default ``labelled_findings``, which writes out known forms of secrets and of what is taken for them.
-Only DataFrame functions and Spark ML's JVM trees are used, and nothing is broadcast.
+A candidate is a word that holds a known key prefix, an assignment to a name that ends in password, token or the like
+(db_password and clientSecret are such names), a value that follows such a name, or a run of 16 or more key characters
+with a digit. The forest sees the candidate's length, its character classes and the transitions between them, its
+entropy, how much of it dictionary words cover, whether it looks like a path, url or address, and its neighbouring
+words. It is trained from labelled findings: any table of (before2, before, word, after, label), by default
+``labelled_findings``, which writes out known forms of secrets and of what is taken for them. Only DataFrame functions
+and Spark ML's JVM trees are used, and nothing is broadcast.
 
 Null and empty texts have no findings. A word found twice in a text gives two findings, at their word positions. Repeated
 rows give repeated findings. An empty table gives an empty result. Extra columns are ignored.
@@ -25,12 +26,14 @@ from pyspark.sql import functions as F
 from notelode.llm.base import DOC_COLUMNS, GAP, stored, table
 
 NAME = r"(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?"
+#: What may stand before it: db_password, spring.datasource.password, clientSecret.
+PREFIX = r"[A-Za-z0-9_.-]*"
 KNOWN = r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{30,}|xox[abprs]-[0-9A-Za-z-]{10,}|sk_(?:live|test)_[0-9A-Za-z]{16,}|AIza[0-9A-Za-z_-]{30,}|eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_.-]+"
 LONG = r"(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}"
-GIVEN = rf"(?i:\b{NAME}[\"']?[:=]+[\"']?[^\s\"']{{6,}})"
+GIVEN = rf"(?i:{NAME}[\"']?[:=]+[\"']?[^\s\"']{{6,}})"
 CANDIDATE = rf"{KNOWN}|{GIVEN}|{LONG}"
 #: A text without any of these has no candidates.
-ANY = rf"{CANDIDATE}|(?i:\b{NAME}\b[\"']?\s*[:=])"
+ANY = rf"{CANDIDATE}|(?i:{NAME}\W*[:=])"
 DICTIONARY = (
     "example", "sample", "test", "dummy", "fake", "change", "default", "your", "here", "none", "null", "user", "admin", "name", "file", "path", "home",
     "http", "https", "www", "com", "org", "net", "html", "php", "index", "page", "image", "data", "node", "main", "master", "release", "version", "build",
@@ -60,7 +63,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     n = F.size("w")
     zipped = F.arrays_zip(F.slice(moved(2), F.lit(1), n).alias("before2"), F.slice(moved(1), F.lit(1), n).alias("before"), F.col("w").alias("word"), after.alias("after"))
     rows = rows.select("doc_id", F.posexplode(zipped).alias("at", "z")).select("doc_id", "at", "z.*")
-    follows = (F.col("before").rlike(r"^[:=]+$") & F.col("before2").rlike(rf"(?i)^\W*{NAME}\W*$")) | F.col("before").rlike(rf"(?i)^\W*{NAME}[\"']?[:=]+$")
+    follows = (F.col("before").rlike(r"^[:=]+$") & F.col("before2").rlike(rf"(?i)^\W*{PREFIX}{NAME}\W*$")) | F.col("before").rlike(rf"(?i)^\W*{PREFIX}{NAME}[\"']?[:=]+$")
     return rows.where(F.col("word").rlike(CANDIDATE) | (follows & F.col("word").rlike(r"^[\"']?[^\s\"']{6,}")))
 
 
@@ -86,7 +89,7 @@ def featured(rows: DataFrame) -> DataFrame:
         "uuid": flag(v.rlike(r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")),
         "hex": flag(v.rlike("^[0-9a-f]+$")), "numeric": flag(v.rlike(r"^[0-9+(). -]+$")),
         "repeats": count(v, r"(.)(?=\1)") / n,
-        "before_name": flag(F.concat_ws(" ", "before2", "before").rlike(rf"(?i)\b{NAME}\b")),
+        "before_name": flag(F.concat_ws(" ", "before2", "before").rlike(rf"(?i){NAME}\b")),
         "before_sign": flag(F.col("before").rlike(r"[:=]$")),
         "before_other": flag(F.concat_ws(" ", "before2", "before").rlike(r"(?i)\b(?:commit|sha|hash|id|uuid|file|path|url|page|order|invoice|example|version|doi|isbn|see)\b")),
         "after_mock": flag(F.col("after").rlike(r"(?i)^\W*(?:example|sample|placeholder|dummy|redacted)")),

@@ -199,6 +199,17 @@ def test_secrets(spark):
     assert secrets.scan(table(spark, EMPTY)).count() == 0
 
 
+def test_secrets_of_prefixed_names(spark):
+    told = ["db_password: hunter2x", '"client_secret": "abcDEFgh12"', "DB_PASSWORD = s3cretpw", "clientSecret=9f86d081884c7d65ab", "a spring.datasource.password = 4f9a7c21e0b8d35f b", '{"client_secret":"abcDEFgh12"}', "my-auth-token Zx81kQ0pLm2vTr99 b"]
+    values = ["hunter2x", "abcDEFgh12", "s3cretpw", "9f86d081884c7d65ab", "4f9a7c21e0b8d35f", "abcDEFgh12", "Zx81kQ0pLm2vTr99"]
+    other = ["db_password=correcthorse", "compass: northeast", "author: somebody", "the db_password is"]
+    docs = table(spark, [*told, *other])
+    found = {(r.doc_id, r.value): r.secret for r in secrets.scan(docs).collect()}
+    assert {k for k, secret in found.items() if secret} == set(enumerate(values)) and (len(told), "correcthorse") in found
+    clean = {r.doc_id: r.text for r in secrets.secrets_stage(spark, docs, "").collect()}
+    assert [clean[i] for i in range(len(told) + len(other))] == [*[t.replace(v, "[SECRET]") for t, v in zip(told, values, strict=True)], *other]
+
+
 def test_pieces_are_lossless_and_reproducible(spark):
     pytest.importorskip("public_tokenizers")
     model = pieces._model()

@@ -20,6 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """The columns of documents and _id, a hash of doc_id and text: doc_ids may be null, or be shared by different texts.
+
+    Rows of one doc_id and text have one _id (a null text is an empty one). It has 64 bits; two of 15 million documents
+    share one by chance in about six of a million tables.
+    """
+    return docs.select(*DOC_COLUMNS, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("_id"))
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound the rows (and, where Spark knows the setting, the bytes) of an Arrow batch, and let workers find this package."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))

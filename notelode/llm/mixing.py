@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from notelode.llm.base import DOC_COLUMNS, WORD, stored, table
+from notelode.llm.base import DOC_COLUMNS, WORD, stored, table, with_row_key
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -111,9 +111,11 @@ def op7_mixing(spark, sf_dir) -> DataFrame:
 
 
 def mixing_stage(spark, docs, sf_dir) -> DataFrame:
-    """Each document as often as the mix takes it; the part of the one at the cut is rounded to all or nothing."""
+    """Each document as often as the mix takes it; the part of the one at the cut is rounded to all or nothing. Documents are
+    drawn by row, by a hash of doc_id and text: doc_ids may be null or repeated."""
+    rows = with_row_key(docs)
     copies = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")
-    taken = mix(docs).select("doc_id", copies.alias("copies")).where("copies > 0")
-    taken = taken.groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    again = docs.select(*DOC_COLUMNS).join(taken, "doc_id")
+    taken = mix(rows.select(F.col("_id").alias("doc_id"), "text", "source")).select(F.col("doc_id").alias("_id"), copies.alias("copies")).where("copies > 0")
+    taken = taken.groupBy("_id").agg(F.max("copies").alias("copies"))
+    again = rows.join(taken, "_id")
     return again.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*DOC_COLUMNS)

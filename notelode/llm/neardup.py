@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notelode.llm.base import DOC_COLUMNS, small_batches, stored, table
+from notelode.llm.base import DOC_COLUMNS, small_batches, stored, table, with_row_key
 from notelode.llm.wordhash import mixed, run_hashes, word_hashes
 
 SHINGLE = 5
@@ -299,6 +299,10 @@ def op10_minhash_icws(spark, sf_dir) -> DataFrame:
 
 
 def neardup_stage(spark, docs, sf_dir) -> DataFrame:
-    """Of each class the document with the least doc_id."""
-    keep = classes(docs).where("doc_id = class_id").select("doc_id")
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*DOC_COLUMNS)
+    """Of each class the document with the least doc_id. Null doc_ids come last, and different texts that share a doc_id are
+    different documents; of those of one class and doc_id it is the one with the least hash."""
+    rows = with_row_key(docs)
+    found = classes(rows.select(F.col("_id").alias("doc_id"), "text")).select(F.col("doc_id").alias("_id"), "class_id")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_id")
+    keep = found.join(rows.select("_id", "doc_id").distinct(), "_id").groupBy("class_id").agg(F.min_by("_id", order).alias("_id")).select("_id")
+    return rows.join(keep, "_id", "left_semi").dropDuplicates(["_id"]).select(*DOC_COLUMNS)

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notelode.llm.base import DOC_COLUMNS, GAP, WORD, stored, table
+from notelode.llm.base import DOC_COLUMNS, GAP, WORD, stored, table, with_row_key
 
 BUCKETS = 1 << 14
 SIGMAS = 4.0
@@ -101,14 +101,14 @@ def bucket_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -
     return [round(x, 6) for x in out]
 
 
-def measured(docs: DataFrame, ratios: list[float]) -> DataFrame:
-    """doc_id, the base counts and llr: the mean log ratio of a document's n-grams, 0 without any.
+def measured(docs: DataFrame, ratios: list[float], ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ids, the base counts and llr: the mean log ratio of a document's n-grams, 0 without any.
 
     All n-grams of a row are made and summed in one task; one narrow row of it goes to the shuffle. The ratios are one
     folded constant.
     """
-    keys = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    seen = repeat_words(with_words(docs.select("doc_id", "text"))).select("doc_id", "_w", *base_columns(), "n_repeat_words")
+    keys = [*ids, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    seen = repeat_words(with_words(docs.select(*ids, "text"))).select(*ids, "_w", *base_columns(), "n_repeat_words")
     by_bin = F.from_json(F.lit(json.dumps([round(1e6 * x) for x in ratios])), "array<long>")
     value = lambda g: F.coalesce(F.get(by_bin, F.col(g)), F.lit(0).cast("long"))
     rows = by_gram(seen, len(ratios), *keys).select(*keys, (value("g1") + value("g2") + value("g3")).alias("v"))
@@ -116,10 +116,11 @@ def measured(docs: DataFrame, ratios: list[float]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.avg("v").alias("v")).select(*keys, F.round(F.col("v") / grams / 1e6, 6).alias("llr"))
 
 
-def judge(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, sigmas: float = SIGMAS, margin: float = MARGIN) -> DataFrame:
-    """doc_id, the base counts, base_failed, llr, threshold, kept: a row for each document. doc_id must be unique."""
+def judge(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, sigmas: float = SIGMAS, margin: float = MARGIN, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ids, the base counts, base_failed, llr, threshold, kept: a row for each document. ids, of which doc_id is
+    one, must tell different texts apart."""
     ratios = bucket_ratios(docs, trusted, buckets)
-    seen = stored(measured(docs, ratios))
+    seen = stored(measured(docs, ratios, ids))
     limit = seen.join(trusted.select("doc_id").distinct(), "doc_id", "left_semi").agg(
         F.round(F.avg("llr") - F.greatest(sigmas * F.stddev_pop("llr"), F.lit(margin)), 6).alias("threshold")
     )
@@ -140,6 +141,7 @@ def op1_quality_llr(spark, sf_dir) -> DataFrame:
 
 
 def quality_stage(spark, docs, sf_dir) -> DataFrame:
-    """The documents that the rules keep."""
-    good = judge(docs, trusted_docs(table(spark, sf_dir, "labels"))).where("kept").select("doc_id")
-    return docs.join(good, "doc_id", "left_semi").select(*DOC_COLUMNS)
+    """The documents that the rules keep, by row: doc_ids may be null or repeated."""
+    rows = with_row_key(docs)
+    good = judge(rows, trusted_docs(table(spark, sf_dir, "labels")), ids=("doc_id", "_id")).where("kept").select("_id")
+    return rows.join(good, "_id", "left_semi").select(*DOC_COLUMNS)

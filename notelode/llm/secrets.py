@@ -23,7 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notelode.llm.base import DOC_COLUMNS, GAP, stored, table
+from notelode.llm.base import DOC_COLUMNS, GAP, stored, table, with_row_key
 
 NAME = r"(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?"
 #: What may stand before it: db_password, spring.datasource.password, clientSecret.
@@ -167,9 +167,10 @@ def op8_secret_forest(spark, sf_dir) -> DataFrame:
 
 
 def secrets_stage(spark, docs, sf_dir) -> DataFrame:
-    """The documents, with each secret replaced by a mark."""
-    found = scan(docs).where("secret").groupBy("doc_id").agg(F.sort_array(F.collect_set("value"), asc=False).alias("values"))
+    """The documents, with each secret replaced by a mark, by row: doc_ids may be null or repeated."""
+    rows = with_row_key(docs)
+    found = scan(rows.select(F.col("_id").alias("doc_id"), "text")).where("secret").groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_set("value"), asc=False).alias("values"))
     clean = F.aggregate("values", F.col("text"), lambda t, v: F.replace(t, v, F.lit("[SECRET]")))
-    rows = docs.select(*DOC_COLUMNS).hint("merge").join(found, "doc_id", "left")
+    rows = rows.hint("merge").join(found, "_id", "left")
     rows = rows.withColumn("text", F.coalesce(clean, F.col("text"))).withColumn("n_chars", F.when(F.col("values").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
     return rows.select(*DOC_COLUMNS)

@@ -210,6 +210,23 @@ def test_secrets_of_prefixed_names(spark):
     assert [clean[i] for i in range(len(told) + len(other))] == [*[t.replace(v, "[SECRET]") for t, v in zip(told, values, strict=True)], *other]
 
 
+def test_stages_keep_rows_of_null_and_repeated_ids(spark, tmp_path):
+    key = "AKIA" + "SJDZWJNP6ZRYWK44"
+    ids = [None, None, 1, 1, 2, None]
+    texts = [*[prose(200, k) for k in range(400, 405)], "too short"]
+    docs = spark.createDataFrame([(i, t, None, None, None, "x", 1) for i, t in zip(ids, texts, strict=True)], SCHEMA)
+    spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    every = sorted(zip(ids, texts, strict=True), key=str)
+    assert rows(quality.quality_stage(spark, docs, str(tmp_path))) == [x for x in every if x[1] != "too short"]
+    again = docs.union(docs.where("doc_id = 1")).union(docs.limit(1).selectExpr("9L", *docs.columns[1:]))
+    assert rows(neardup.neardup_stage(spark, again, "")) == sorted([*[x for x in every if x != (None, texts[0])], (9, texts[0])], key=str)
+    told = docs.selectExpr("doc_id", f"if(doc_id <=> 2, text, concat(text, ' {key}')) AS text", *docs.columns[2:])
+    assert rows(secrets.secrets_stage(spark, told, "")) == sorted(((i, t if i == 2 else t + " [SECRET]") for i, t in every), key=str)
+    mixed = Counter(rows(mixing.mixing_stage(spark, docs, "")))
+    assert set(mixed) == set(every) and set(mixed.values()) <= {1, 2}
+
+
 def test_pieces_are_lossless_and_reproducible(spark):
     pytest.importorskip("public_tokenizers")
     model = pieces._model()

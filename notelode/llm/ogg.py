@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notelode.llm.base import small_batches, table
+from notelode.llm.base import in_parts, table, workers_find_package
 
 RATE = 8000
 UNIT = 64
@@ -172,10 +172,10 @@ def read(raw: bytes) -> tuple[bytes, int, str]:
 
 def encode(docs: DataFrame) -> DataFrame:
     """doc_id, media: the Ogg file of each text."""
-    small_batches(docs.sparkSession)
+    workers_find_package(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in in_parts(batches):
             media = []
             for text in b["text"]:
                 raw = (text or "").encode("utf-8", "surrogatepass")
@@ -187,10 +187,10 @@ def encode(docs: DataFrame) -> DataFrame:
 
 def decode(files: DataFrame, media: str = "media") -> DataFrame:
     """doc_id, text_bytes (as stored), payload, feature, error: what is read from each file."""
-    small_batches(files.sparkSession)
+    workers_find_package(files.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in in_parts(batches, column="media"):
             rows = []
             for raw in b["media"]:
                 try:
@@ -208,11 +208,11 @@ def decode(files: DataFrame, media: str = "media") -> DataFrame:
 
 def digests(docs: DataFrame) -> DataFrame:
     """The files' digests, a row for each document: encoded, read back, and told in one pass each."""
-    small_batches(docs.sparkSession)
+    workers_find_package(docs.sparkSession)
     fields = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in in_parts(batches, column="media"):
             rows = []
             for raw in b["media"]:
                 payload, n, feature = read(bytes(raw))

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notelode.llm.base import small_batches, stored, table
+from notelode.llm.base import in_parts, stored, table, workers_find_package
 from notelode.llm.wordhash import mixed, powers, run_hashes, word_hashes
 
 WIDTH = 50
@@ -75,7 +75,7 @@ def find_stretches(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, anchor, stretch: a row for each stretch of each document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in in_parts(batches):
             s = Stretches(b["text"].tolist(), width)
             yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[s.text[s.begin]], "anchor": s.anchor, "stretch": s.stretch})
 
@@ -86,7 +86,7 @@ def find_windows(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, window: the windows of the stretches in the column doubtful of docs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in in_parts(batches):
             s = Stretches(b["text"].tolist(), width)
             own = split_by_text(s, len(b))
             for i, (wanted, (lo, hi)) in enumerate(zip(b["doubtful"], own, strict=True)):
@@ -133,7 +133,7 @@ def removed(docs: DataFrame, width: int, each: bool) -> DataFrame:
     fields = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * each
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in in_parts(batches):
             texts = b["text"].tolist()
             ids = b["doc_id"].tolist()
             words = [(x or "").encode("utf-8", "surrogatepass").split() for x in texts]
@@ -177,7 +177,7 @@ def removed(docs: DataFrame, width: int, each: bool) -> DataFrame:
 
 def dedup(docs: DataFrame, width: int = WIDTH, text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept): a row for each row of docs."""
-    small_batches(docs.sparkSession)
+    workers_find_package(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     found = recurring(docs.where("doc_id is not null"), width)
     found = stored(found.groupBy("doc_id").agg(F.collect_list("key").alias("keys"), F.collect_list("first").alias("firsts")))

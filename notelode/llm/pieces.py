@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notelode.llm.base import DOC_COLUMNS, small_batches, table
+from notelode.llm.base import DOC_COLUMNS, in_parts, table, workers_find_package
 
 ALPHA = 1.0
 SEED = 29
@@ -37,8 +37,8 @@ SPACE = "\u2581"
 MARK = "\udc81"
 #: Stands between words, as unknown to texts and pieces.
 GAP_MARK = "\udc80"
-#: Batches are cut into parts of about so many characters.
-PART_CHARS = 8 << 20
+#: Batches are cut into parts of about so many characters: a part's lattice takes some hundred bytes for each.
+PART_CHARS = 1 << 18
 _worker: dict = {}
 
 
@@ -243,47 +243,33 @@ def lattice(model: str, alpha: float) -> Lattice:
     return _worker["lattice"]
 
 
-def parts(texts: list[str | None]) -> Iterator[slice]:
-    """Slices of about PART_CHARS characters."""
-    begin = size = 0
-    for k, x in enumerate(texts):
-        size += len(x or "")
-        if size >= PART_CHARS:
-            yield slice(begin, k + 1)
-            begin, size = k + 1, 0
-    if begin < len(texts):
-        yield slice(begin, len(texts))
-
-
 def encode(docs: DataFrame, model: str, alpha: float = ALPHA, seed: int = SEED, digest: bool = False) -> DataFrame:
     """The columns of docs, ids (array of int), lossless: a row for each row of docs.
 
     With digest: doc_id, n_ids, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), n_bytes and
     decoded_sha256 (of the text decoded from the ids), lossless instead.
     """
-    small_batches(docs.sparkSession, 4000)
+    workers_find_package(docs.sparkSession)
     fields = "doc_id long, n_ids long, ids_crc32 long, n_bytes long, decoded_sha256 string, lossless boolean"
     schema = fields if digest else [*docs.schema.fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in batches:
-            all_texts = whole["text"].tolist()
-            for cut in parts(all_texts):
-                b, texts = whole.iloc[cut], [x or "" for x in all_texts[cut]]
-                model_lattice = lattice(model, alpha)
-                rows = b["doc_id"].fillna(-1).to_numpy(np.int64)
-                ids, number = model_lattice.sample(texts, rows, seed)
-                each = np.split(ids, np.cumsum(number)[:-1])
-                decoded = [model_lattice.decode(x) for x in each]
-                lossless = [x == y for x, y in zip(texts, decoded, strict=True)]
-                if digest:
-                    raw = [x.encode("utf-8", "surrogatepass") for x in decoded]
-                    yield pd.DataFrame({
-                        "doc_id": b["doc_id"].astype("Int64"), "n_ids": number, "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in each],
-                        "n_bytes": list(map(len, raw)), "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in raw], "lossless": lossless,
-                    })
-                else:
-                    yield b.assign(ids=[x.astype(np.int32) for x in each], lossless=lossless)
+        for b in in_parts(batches, PART_CHARS):
+            texts = [x or "" for x in b["text"].tolist()]
+            model_lattice = lattice(model, alpha)
+            rows = b["doc_id"].fillna(-1).to_numpy(np.int64)
+            ids, number = model_lattice.sample(texts, rows, seed)
+            each = np.split(ids, np.cumsum(number)[:-1])
+            decoded = [model_lattice.decode(x) for x in each]
+            lossless = [x == y for x, y in zip(texts, decoded, strict=True)]
+            if digest:
+                raw = [x.encode("utf-8", "surrogatepass") for x in decoded]
+                yield pd.DataFrame({
+                    "doc_id": b["doc_id"].astype("Int64"), "n_ids": number, "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in each],
+                    "n_bytes": list(map(len, raw)), "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in raw], "lossless": lossless,
+                })
+            else:
+                yield b.assign(ids=[x.astype(np.int32) for x in each], lossless=lossless)
 
     if digest:
         return docs.select("doc_id", "text").mapInPandas(run, schema)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from notelode.llm.base import shared_dir, small_batches, table
+from notelode.llm.base import in_parts, shared_dir, table, workers_find_package
 
 BLOCK = 128
 PERCENTILE = 90
@@ -277,7 +277,7 @@ def encode(texts: list[str], path: str, end_id: int = 0) -> tuple[np.ndarray, np
 def write_shards(docs: DataFrame, folder: str, vocabulary: str, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """Write documents in ascending doc_id order to shard files in folder; returns shard, file, n_ids: a row a file."""
     spark = docs.sparkSession
-    small_batches(spark)
+    workers_find_package(spark)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, chars // shard_chars)
@@ -286,7 +286,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, shard_chars: int
         from pyarrow import fs
 
         doc_ids, counts, parts = [], [], []
-        for b in batches:
+        for b in in_parts(batches):
             if len(b):
                 got = encode(b["text"].tolist(), vocabulary)
                 doc_ids.append(b["doc_id"].fillna(NULL_ID).to_numpy(np.int64) if b["doc_id"].isna().any() else b["doc_id"].to_numpy(np.int64))
@@ -326,7 +326,7 @@ def read_shards(spark, folder: str) -> DataFrame:
                     "ids_crc32": [zlib.crc32(flat[4 * i : 4 * j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)],
                 })
 
-    small_batches(spark, 1)
+    workers_find_package(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.pfor").load(folder)
     return files.select("path", "content").mapInPandas(read, "doc_id long, shard int, end long, n_tokens long, ids_crc32 long")
 

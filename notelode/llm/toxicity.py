@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notelode.llm.base import WORD, small_batches, stored, table
+from notelode.llm.base import WORD, in_parts, stored, table, workers_find_package
 
 MIN_SHARE = 0.01
 MIN_SUPPORT = 3
@@ -137,13 +137,13 @@ def learn_lexicon(train: DataFrame, min_share: float = MIN_SHARE, min_ratio: flo
 
 def densities(docs: DataFrame, lexicon: list[tuple[str, float]], exceptions: Iterable[str] = EXCEPTIONS) -> DataFrame:
     """The columns of docs but text, density, matches."""
-    small_batches(docs.sparkSession)
+    workers_find_package(docs.sparkSession)
     kept = [c for c in docs.columns if c != "text"]
     exceptions = tuple(exceptions)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(lexicon, exceptions)
-        for b in batches:
+        for b in in_parts(batches):
             found = [density(matcher, x) for x in b["text"]]
             yield b[kept].assign(density=[x for x, _ in found], matches=[n for _, n in found])
 

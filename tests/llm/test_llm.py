@@ -286,16 +286,19 @@ def test_neardup_against_brute_force(spark):
     assert neardup.classes(table(spark, EMPTY)).count() == 0 and neardup.classes(table(spark, [None, "", "x"])).where("class_id <> 0").count() == 1
 
 
-def test_neardup_finds_a_link_between_members_of_two_leaders(spark):
-    """Nested texts of 100, 132, 105, 126 shingles in one bucket: 105 and 126 are linked, but not to each other's leader."""
-    turns = spark.range(5000).selectExpr("id", "pmod(xxhash64(id), 256) AS t").collect()
-    ids = [r.id for r in turns if r.t == turns[0].t][:4]
+def test_neardup_finds_links_between_members_of_other_leaders(spark, tmp_path):
+    """Nested texts of 100, 132, 105, 126 shingles in one bucket: 105 and 126 are linked, whoever leads; in blocks of any size."""
     words = [f"w{k}" for k in range(200)]
-    docs = spark.createDataFrame([(i, " ".join(words[: n + 4])) for i, n in zip(ids, (100, 132, 105, 126), strict=True)], "doc_id long, text string")
-    texts = docs.selectExpr("doc_id", "array(7L) AS keys", "array(7L) AS plain", "110D AS size", "110L AS distinct")
-    idf = np.ones(16, np.float32)
-    _, comps = neardup.links_of(texts, lambda wanted: neardup.vectors(docs.join(wanted, "doc_id", "left_semi")), idf, 0.8)
-    assert {r.node: r.comp for r in comps.collect()} == dict.fromkeys(ids, ids[0])
+    sizes = (100, 132, 105, 126)
+    docs = neardup.with_node(spark.createDataFrame([(i, " ".join(words[: n + 4])) for i, n in enumerate(sizes)], "doc_id long, text string"))
+    texts = docs.selectExpr("node", "doc_id as first", "array(7L) AS keys", "array(7L) AS plain", "100L AS size")
+    kept = neardup.BLOCK_TEXTS
+    try:
+        for neardup.BLOCK_TEXTS in (kept, 1):
+            comps = neardup.components_of(texts, docs, np.ones(16, np.float32), 0.8, neardup.Scratch(spark))
+            assert len(got := comps.collect()) == 4 and len({r.comp for r in got}) == 1
+    finally:
+        neardup.BLOCK_TEXTS = kept
 
 
 def test_neardup_finds_texts_that_repeat_their_lines(spark):
@@ -307,6 +310,95 @@ def test_neardup_finds_texts_that_repeat_their_lines(spark):
     assert rows == {i: i % 4 for i in range(8)}
 
 
+def exact_classes(texts, least=0.8, buckets=neardup.BUCKETS):
+    """Links by brute force, weighted or plain, over all pairs of texts; the class of each text and all links."""
+    n = len(texts)
+    counts = np.zeros(buckets, np.int64)
+    vecs = []
+    for t in texts:
+        h, times, _ = neardup.weighted([t])
+        np.add.at(counts, np.unique((h % np.uint64(buckets)).astype(np.int64)), 1)
+        vecs.append(dict(zip((h & np.uint64((1 << 48) - 1)).tolist(), times.tolist(), strict=True)))
+    idf = neardup.bin_weights(counts, n)
+    weight = lambda x: float(idf[x % buckets])
+    holders = {}
+    for i, v in enumerate(vecs):
+        for x in v:
+            holders.setdefault(x, []).append(i)
+    sizes = [sum(c * weight(x) for x, c in v.items()) for v in vecs]
+    near = {(j, i) for own in holders.values() for i in own for j in own if j < i}
+    links = {}
+    for j, i in near:
+        common = [x for x in vecs[i] if x in vecs[j]]
+        both = sum(min(vecs[i][x], vecs[j][x]) * weight(x) for x in common)
+        w, p = both / (sizes[i] + sizes[j] - both), len(common) / (len(vecs[i]) + len(vecs[j]) - len(common))
+        if max(w, p) >= least:
+            links[j, i] = w, p
+    return links
+
+
+def test_neardup_recall_of_links_at_planted_distances(spark):
+    """Copies of 250 words with 1 to 12 changed words, half of them with each line said twice in one of the two; a hot group."""
+    rng = np.random.default_rng(8)
+
+    def changed(t, k):
+        w = t.split()
+        for i in rng.choice(len(w), k, replace=False):
+            w[i] = f"new{rng.integers(1 << 30)}"
+        return " ".join(w)
+
+    texts = []
+    for k in range(120):
+        t = prose(250, 5000 + k)
+        texts += [t, changed(t, 1 + k % 12)]
+        if k % 2:
+            texts[-1] += "\n" + texts[-1]
+    hot = prose(150, 4999)
+    texts += [changed(hot, int(rng.integers(0, 9))) for _ in range(150)]
+    links = exact_classes(texts)
+    rows = {r.doc_id: r.class_id for r in neardup.classes(table(spark, texts)).collect()}
+    for least, most in ((0.8, 0.85), (0.85, 0.9), (0.9, 1.01)):
+        own = [x for x, s in links.items() if least <= max(s) < most]
+        share = np.mean([rows[i] == rows[j] for i, j in own])
+        print(f"similarity {least} to {most}: {len(own)} links, in one class {share:.3f}")
+        assert share >= 0.97
+    found = {frozenset(x) for x in links}
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in links:
+        a, b = sorted((find(i), find(j)))
+        parent[b] = a
+    assert all(find(i) == find(c) for i, c in rows.items()) and found  # nothing else is put together
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_neardup_recall_on_tables(spark, sf):
+    folder = f"/root/testdata/{sf}"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    links = exact_classes([t for _, t in rows])
+    found = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    share = np.mean([found[rows[i][0]] == found[rows[j][0]] for i, j in links])
+    print(f"{sf}: {len(links)} links, in one class {share:.3f}")
+    assert share >= 0.98
+
+
+def test_neardup_of_pasted_texts_and_rows_without_ids(spark):
+    t, other = prose(300, 61), prose(300, 62)
+    docs = spark.createDataFrame([(5, t), (3, t + " " + t), (None, t), (None, other), (9, None), (8, ""), (8, "")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.class_id) for r in neardup.classes(docs).collect()), key=str)
+    assert got == sorted([(5, 3), (3, 3), (None, 3), (None, None), (9, 8), (8, 8), (8, 8)], key=str)
+    wide = docs.selectExpr("doc_id", "text", "'x' AS lang", "'y' AS source", "1L AS n_chars", "'clash' AS node", "1 AS comp", "2 AS key", "3 AS keys")
+    kept = sorted(((r.doc_id, r.text) for r in neardup.neardup_stage(spark, wide, "").collect()), key=str)
+    assert kept == sorted([(3, t + " " + t), (None, other), (8, "")], key=str)
+    assert neardup.neardup_stage(spark, wide.limit(0), "").count() == 0
+
+
 def test_icws_agrees_as_weighted_jaccard():
     rng = np.random.default_rng(3)
     h = np.sort(rng.integers(0, 2**63, 300).astype(np.uint64))

@@ -10,15 +10,17 @@ of positions and high parts. Layout, little-endian:
     data     blocks: ids n u16, width u8, exceptions u16, minimum u32, packed words, positions u8, high parts u32
     crc      crc32 u32 of all before
 
-Documents are dealt to shards by ranges of doc_id, so no shard, task or group holds more than its range; each shard is
-written under a name of its own attempt and then renamed, so a lost executor leaves no half file behind. Shards are read
-back with Spark's binaryFile source.
+Documents are dealt to tasks by ranges of doc_id, and a task begins a new shard whenever one is full, so neither many
+rows of one doc_id nor long texts make a task hold more than a shard and a batch. Each shard is written under a name of
+its own attempt and then renamed, so a lost executor leaves no half file behind. The numbers of ids before each shard are
+summed in three levels (groups of tasks, tasks, shards); nothing of a shard goes to the driver.
 
 Ids come from the tokenizers library. Its pre-tokenizer never joins two sides of a single space between non-space
-characters, so texts are cut there and pieces met before are looked up by a 64-bit hash; others go through the library.
+characters, so texts are cut there and pieces met before are looked up by their bytes; others go through the library.
 
-Null and empty texts have the end id alone. Repeated rows are documents of their own. An empty table gives no files and an
-empty result. Extra columns are ignored; a null doc_id sorts first and comes back as null.
+Null and empty texts have the end id alone. Repeated rows are documents of their own; documents of one doc_id stand in
+order of a hash of their texts. An empty table gives no files and an empty result. Extra columns are ignored; a null doc_id
+sorts first and comes back as null.
 """
 
 from __future__ import annotations
@@ -36,12 +38,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from notelode.llm.base import in_parts, shared_dir, table, workers_find_package
+from notelode.llm.base import Scratch, in_parts, shared_dir, table, workers_find_package
 
 BLOCK = 128
 PERCENTILE = 90
-#: Characters of text for each shard.
+#: Characters of text for each task, about, and ids after which a shard is full.
 SHARD_CHARS = 8 << 20
+SHARD_IDS = 4 << 20
+#: Characters that a worker takes up at a time.
+PART_CHARS = 4 << 20
+#: Tasks whose ids are summed as one group.
+GROUP = 1024
 #: Pieces that a worker remembers.
 MEMORY = 1_000_000
 NULL_ID = -(1 << 63)
@@ -182,7 +189,7 @@ class Pieces:
         self.clear()
 
     def clear(self) -> None:
-        self.met: dict[int, int] = {}
+        self.met: dict[bytes, int] = {}
         self.begin, self.count, self.ids = array("q"), array("q"), array("I")
 
     def powers(self, n: int) -> None:
@@ -220,6 +227,27 @@ class Pieces:
         self.ids.frombytes(ids.tobytes())
         return np.arange(first, first + len(counts))
 
+    @staticmethod
+    def equal(keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of pieces (data from starts to ends, and a hash of each) those that come first, and which of them each equals.
+
+        Pieces of one hash are compared byte by byte; one that differs from the first of its hash stands for itself.
+        """
+        _, first, of = np.unique(keys, return_index=True, return_inverse=True)
+        size = ends - starts
+        same = size == size[first][of]
+        span = np.where(same, size, 0)
+        # pieces are neighbours in data: each byte is held against the byte at its place in the first piece
+        shift = np.repeat(starts[first][of] - starts, span)
+        at = np.arange(len(data)) if same.all() else np.repeat(starts - np.cumsum(span) + span, span) + np.arange(span.sum())
+        unlike = data[at] != data[at + shift]
+        if unlike.any() or not same.all():
+            odd = np.union1d(np.flatnonzero(~same), np.unique(np.searchsorted(starts, at[unlike], side="right") - 1))
+            of = of.copy()
+            of[odd] = len(first) + np.arange(len(odd))
+            first = np.append(first, odd)
+        return first, of
+
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id, and the number of each text's ids."""
         raws = [x.encode("utf-8", "surrogatepass") for x in texts]
@@ -241,15 +269,15 @@ class Pieces:
         ends = np.append(starts[1:], n)
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * self.up[:n])))
         keys = (sums[ends] - sums[starts]) * self.down[starts] ^ ((ends - starts).astype(np.uint64) << np.uint64(56))
-        unique, first, of = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.met) + len(unique) > MEMORY:
+        first, of = self.equal(keys, data, starts, ends)
+        if len(self.met) + len(first) > MEMORY:
             self.clear()
-        get, names = self.met.get, unique.tolist()
+        names = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        get = self.met.get
         known = [get(x, -1) for x in names]
         new = [i for i, x in enumerate(known) if x < 0]
         if new:
-            s, e = starts[first].tolist(), ends[first].tolist()
-            where = self.learn([raw[s[i] : e[i]].decode("utf-8", "surrogatepass") for i in new]).tolist()
+            where = self.learn([names[i].decode("utf-8", "surrogatepass") for i in new]).tolist()
             for i, k in zip(new, where, strict=True):
                 known[i] = self.met[names[i]] = k
         piece = np.array(known, np.int64)[of]
@@ -274,75 +302,90 @@ def encode(texts: list[str], path: str, end_id: int = 0) -> tuple[np.ndarray, np
 # --- Spark ------------------------------------------------------------------------------------------------------------
 
 
-def write_shards(docs: DataFrame, folder: str, vocabulary: str, shard_chars: int = SHARD_CHARS) -> DataFrame:
-    """Write documents in ascending doc_id order to shard files in folder; returns shard, file, n_ids: a row a file."""
+def write_shards(docs: DataFrame, folder: str, vocabulary: str, shard_chars: int = SHARD_CHARS, shard_ids: int = SHARD_IDS) -> DataFrame:
+    """Write documents in ascending doc_id order to shard files in folder; returns part, k, file, n_ids: a row a file, in
+    order of part and k."""
     spark = docs.sparkSession
     workers_find_package(spark)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, chars // shard_chars)
+    parts = max(1, chars // shard_chars)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        doc_ids, counts, parts = [], [], []
-        for b in in_parts(batches):
+        task = TaskContext.get()
+        doc_ids, counts, ids, held, k = [], [], [], 0, 0
+
+        def flush() -> pd.DataFrame:
+            raw = encode_shard(np.concatenate(doc_ids), np.cumsum(np.concatenate(counts)), np.concatenate(ids))
+            name = f"shard-{task.partitionId():08d}-{k:05d}.pfor"
+            store, root = fs.FileSystem.from_uri(folder)
+            store.create_dir(root, recursive=True)
+            with store.open_output_stream(tried := f"{root}/_{name}.{task.taskAttemptId()}") as f:
+                f.write(raw)
+            store.move(tried, f"{root}/{name}")
+            return pd.DataFrame({"part": [task.partitionId()], "k": [k], "file": [name], "n_ids": [held]})
+
+        for b in in_parts(batches, PART_CHARS):
             if len(b):
                 got = encode(b["text"].tolist(), vocabulary)
                 doc_ids.append(b["doc_id"].fillna(NULL_ID).to_numpy(np.int64) if b["doc_id"].isna().any() else b["doc_id"].to_numpy(np.int64))
                 counts.append(got[1])
-                parts.append(got[0])
-        if not doc_ids:
-            return
-        ids = np.concatenate(parts)
-        raw = encode_shard(np.concatenate(doc_ids), np.cumsum(np.concatenate(counts)), ids)
-        task = TaskContext.get()
-        name = f"shard-{task.partitionId():08d}.pfor"
-        store, root = fs.FileSystem.from_uri(folder)
-        store.create_dir(root, recursive=True)
-        with store.open_output_stream(tried := f"{root}/_{name}.{task.taskAttemptId()}") as f:
-            f.write(raw)
-        store.move(tried, f"{root}/{name}")
-        yield pd.DataFrame({"shard": [task.partitionId()], "file": [name], "n_ids": [len(ids)]})
+                ids.append(got[0])
+                held += len(got[0])
+                if held >= shard_ids:
+                    yield flush()
+                    doc_ids, counts, ids, held, k = [], [], [], 0, k + 1
+        if doc_ids:
+            yield flush()
+
+    ordered = rows.repartitionByRange(int(parts), "doc_id", "h").sortWithinPartitions("doc_id", "h")
+    return ordered.select("doc_id", "text").mapInPandas(write, "part int, k int, file string, n_ids long")
+
 
-    parts = rows.repartitionByRange(int(shards), "doc_id").sortWithinPartitions("doc_id", "text")
-    return parts.mapInPandas(write, "shard int, file string, n_ids long")
+def with_base(files: DataFrame) -> DataFrame:
+    """files (part, k, n_ids) with base, the ids in all files before."""
+    before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    group = F.floor(F.col("part") / GROUP).alias("g")
+    parts = files.groupBy(group, "part").agg(F.sum("n_ids").alias("n_ids"))
+    groups = parts.groupBy("g").agg(F.sum("n_ids").alias("n_ids")).select("g", before(Window.orderBy("g")).alias("of_groups"))
+    parts = parts.select("g", "part", before(Window.partitionBy("g").orderBy("part")).alias("of_parts")).join(groups, "g").drop("g")
+    own = files.withColumn("of_files", before(Window.partitionBy("part").orderBy("k")))
+    return own.join(parts, "part").withColumn("base", F.col("of_groups") + F.col("of_parts") + F.col("of_files")).drop("of_groups", "of_parts", "of_files")
 
 
-def read_shards(spark, folder: str) -> DataFrame:
-    """doc_id, shard, end (ids of the shard up to and with this document), n_tokens, ids_crc32 from the files in folder."""
+def read_shards(files: DataFrame, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of the documents in files (file, base) of folder; start counts from base on."""
+    workers_find_package(files.sparkSession)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
         for b in batches:
-            for path, raw in zip(b["path"], b["content"], strict=True):
-                doc_ids, ends, ids = decode_shard(raw)
+            for name, base in zip(b["file"], b["base"], strict=True):
+                with store.open_input_file(f"{root}/{name}") as f:
+                    doc_ids, ends, ids = decode_shard(f.read())
                 at = np.concatenate(([0], ends)).astype(np.int64)
                 flat = memoryview(ids.astype("<u4").tobytes())
                 yield pd.DataFrame({
                     "doc_id": pd.array([None if x == NULL_ID else x for x in doc_ids.tolist()], "Int64"),
-                    "shard": int(path.rsplit("shard-", 1)[1].split(".")[0]),
-                    "end": at[1:],
+                    "start": base + at[:-1],
                     "n_tokens": np.diff(at),
                     "ids_crc32": [zlib.crc32(flat[4 * i : 4 * j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)],
                 })
 
-    workers_find_package(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.pfor").load(folder)
-    return files.select("path", "content").mapInPandas(read, "doc_id long, shard int, end long, n_tokens long, ids_crc32 long")
+    return files.select("file", "base").mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary: str, **sizes: int) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files that were written."""
-    spark = docs.sparkSession
-    folder = shared_dir(spark)
-    wrote = write_shards(docs, folder, vocabulary).collect()  # a row a file: this is the job that writes
-    if not wrote:
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    sizes = spark.createDataFrame([(r.shard, r.n_ids) for r in wrote], "shard int, n_ids long")
-    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = sizes.select("shard", before.alias("base"))
-    rows = read_shards(spark, folder).join(base, "shard")
-    return rows.select("doc_id", (F.col("base") + F.col("end") - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32")
+    folder = shared_dir(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
+    files = scratch.stored(write_shards(docs, folder, vocabulary, **sizes))  # this is the job that writes
+    return read_shards(with_base(files).repartition(F.col("file")), folder)
 
 
 def op6_token_blocks(spark, sf_dir) -> DataFrame:

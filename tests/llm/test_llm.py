@@ -102,6 +102,22 @@ def test_phrases_against_brute_force(spark):
     assert phrases.dedup(table(spark, EMPTY)).count() == 0
 
 
+def test_phrases_are_confirmed_by_words(spark):
+    """Only what a shard's automaton finds, word by word, is removed; a shared hash of other words removes nothing."""
+    s = phrases.Passages()
+    s.add(3, b"a b c d".split(), np.array([0, 1]), np.array([3, 2]))
+    assert s.marked(4, b"x a b c y b c".split()) == bytearray([0, 1, 1, 1, 0, 1, 1]) and not any(s.marked(3, b"a b c".split()))
+    passage = prose(60, 100)
+    owner, copy, other = f"{prose(40, 1)} {passage} {prose(30, 2)}", f"{prose(33, 3)} {passage} {prose(80, 4)}", prose(200, 5)
+    w = phrases.Stretches([owner], 50)
+    keys = [{"k1": int(x), "k2": int(y)} for x, y in zip(w.hash[40:51], w.hash2[40:51], strict=True)]  # the passage's windows
+    # as if hashes said that documents 7 and 8 hold the windows of document 2
+    rows = spark.createDataFrame([(7, copy, 0, None), (8, other, 0, None), (1, copy, 0, None), (2, owner, 0, keys)], "doc_id long, text string, shard long, keys array<struct<k1: long, k2: long>>")
+    routed = phrases.routed(rows.coalesce(1), 50).sortWithinPartitions("shard", "turn")
+    assert {r.doc_id: r.n_removed for r in phrases.removed(routed, False).collect()} == {7: 60, 8: 0, 1: 0}
+    assert [r.text for r in routed.where("turn = 0").collect()] == [passage]
+
+
 def test_toxicity_learns_folds_and_excepts(spark):
     bad = ["idiot", "m0r0n", "loweick"]
     texts = [f"{prose(60, k)} {bad[k % 3]} {prose(20, 900 + k)}" if k % 4 == 0 else prose(80, k) for k in range(400)] + ODD
@@ -150,6 +166,22 @@ def test_token_blocks_equal_the_library(spark):
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     assert tokens.round_trip(table(spark, EMPTY), path).count() == 0
+    # many small shards, many rows of one doc_id and of none: the same starts
+    again = table(spark, texts).selectExpr("if(doc_id < 4, null, 3) AS doc_id", "text")
+    small = sorted(((r.start, r.n_tokens) for r in tokens.round_trip(again, path, shard_chars=4000, shard_ids=1).collect()))
+    assert [a for a, _ in small] == np.cumsum([0, *[n for _, n in small][:-1]]).tolist() and sorted(n for _, n in small) == sorted(r.n_tokens for r in rows)
+
+
+def test_pieces_of_one_hash_are_told_apart_by_bytes():
+    data = np.frombuffer(b" ab cd ab c  ab", np.uint8)
+    starts, ends = np.array([0, 3, 6, 9, 12]), np.array([3, 6, 9, 12, 15])
+    for keys in ([1, 1, 1, 1, 1], [1, 2, 1, 3, 1], [5, 5, 1, 1, 5]):
+        first, of = tokens.Pieces.equal(np.array(keys, np.uint64), data, starts, ends)
+        raw = [bytes(data[a:b]) for a, b in zip(starts, ends, strict=True)]
+        assert [raw[first[k]] for k in of] == raw
+    starts, ends = np.array([0, 3]), np.array([3, 15])
+    first, of = tokens.Pieces.equal(np.array([1, 1], np.uint64), data, starts, ends)
+    assert first.tolist() == [0, 1] and of.tolist() == [0, 1]
 
 
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 1000])

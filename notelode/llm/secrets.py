@@ -3,10 +3,11 @@
 A candidate is a word that holds a known key prefix, an assignment to a name that ends in password, token or the like
 (db_password and clientSecret are such names), a value that follows such a name, or a run of 16 or more key characters
 with a digit. The forest sees the candidate's length, its character classes and the transitions between them, its
-entropy, how much of it dictionary words cover, whether it looks like a path, url or address, and its neighbouring
-words. It is trained from labelled findings: any table of (before2, before, word, after, label), by default
-``labelled_findings``, which writes out known forms of secrets and of what is taken for them. Only DataFrame functions
-and Spark ML's JVM trees are used, and nothing is broadcast.
+entropy, how much of it dictionary words cover (a fixed list, and all words of ``MIN_DOCS`` documents of the corpus or
+more), whether it looks like a path, url or address, and its neighbouring words. It is trained from labelled findings: any
+table of (before2, before, word, after, label), by default ``labelled_findings``, which writes out known forms of secrets
+and of what is taken for them, both among the same neighbours; ``held_out_figures`` trains on some forms' rows and measures
+on others. Only DataFrame functions and Spark ML's JVM trees are used, and nothing is broadcast.
 
 Null and empty texts have no findings. A word found twice in a text gives two findings, at their word positions. Repeated
 rows give repeated findings. An empty table gives an empty result. Extra columns are ignored.
@@ -40,12 +41,19 @@ DICTIONARY = (
     "commit", "branch", "lib", "usr", "local", "bin", "src", "python", "java", "package", "module", "class", "object", "number", "string", "value", "the",
     "and", "for", "with", "that", "this", "from", "tion", "ing", "word", "key", "id", "uuid", "date", "time", "order", "invoice", "chapter", "section", "part",
 )
+#: A word of so many documents or more is a dictionary word too, if it has four letters or more.
+MIN_DOCS = 5
 FEATURES = (
-    "length", "upper", "lower", "digit", "other", "turns", "entropy", "covered", "known", "assigned", "slashes", "dots", "at_sign", "uuid", "hex", "numeric",
-    "repeats", "before_name", "before_sign", "before_other", "after_mock",
+    "length", "upper", "lower", "digit", "other", "turns", "entropy", "covered", "common", "known", "assigned", "slashes", "dots", "at_sign", "uuid", "hex", "numeric",
+    "repeats", "before_name", "before_sign", "before_other", "after_mock", "mock",
+)
+TRAIN_ROWS = 12_000
+TREES, DEPTH = 24, 8
+#: Neighbours of findings of either label.
+AROUND = (
+    "see", "in", "file", "user", "id", "the", "my", "note", "url", "page", "set", "use", "with", "for", "and", "of", "from", "line", "config", "server",
+    "order", "path", "version", "run", "call", "value", "read", "test", "your", "new", "old", "log", "thonre", "lichung", "edand", "report",
 )
-TRAIN_ROWS = 6000
-TREES, DEPTH = 20, 6
 
 
 def value_of(word) -> Column:
@@ -67,9 +75,27 @@ def candidates(docs: DataFrame) -> DataFrame:
     return rows.where(F.col("word").rlike(CANDIDATE) | (follows & F.col("word").rlike(r"^[\"']?[^\s\"']{6,}")))
 
 
-def featured(rows: DataFrame) -> DataFrame:
+def vocabulary(docs: DataFrame, least: int = MIN_DOCS) -> DataFrame:
+    """part: the words of four letters or more (lower case) of ``least`` documents or more."""
+    own = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![\p{L}\p{N}])(\p{L}{4,})(?![\p{L}\p{N}])"), F.lit(1)))
+    return docs.select(F.explode(own).alias("part")).groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("part")
+
+
+def with_common(rows: DataFrame, known: DataFrame | None) -> DataFrame:
+    """rows with common: the share of value's characters that are in runs of four letters or more which are words of known."""
+    if known is None:
+        return rows.withColumn("common", F.lit(0.0))
+    runs = F.regexp_extract_all(F.lower("value"), F.lit(r"(\p{L}{4,})"), F.lit(1))
+    values = rows.select("value").distinct()
+    parts = values.select("value", F.explode(runs).alias("part")).join(known, "part")
+    share = parts.groupBy("value").agg((F.sum(F.char_length("part")) / F.greatest(F.char_length("value"), F.lit(1))).alias("common"))
+    return rows.join(share, "value", "left").withColumn("common", F.coalesce("common", F.lit(0.0)))
+
+
+def featured(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """rows with value and FEATURES."""
     v = F.col("value")
+    named = F.concat_ws(" ", "before2", "before").rlike(rf"(?i){NAME}\b") | F.col("word").rlike(GIVEN)
     n = F.greatest(F.char_length(v), F.lit(1))
     count = lambda x, p: F.regexp_count(x, F.lit(p)).cast("double")
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
@@ -77,7 +103,7 @@ def featured(rows: DataFrame) -> DataFrame:
     bits = lambda s, c: s - F.when(c == "", 0.0).otherwise((n - F.char_length(F.replace(v, c, F.lit("")))) / n * F.log2((n - F.char_length(F.replace(v, c, F.lit("")))) / n))
     turns = count(v, "[a-z](?=[A-Z0-9])|[A-Z](?=[a-z0-9])|[0-9](?=[A-Za-z])|[A-Za-z0-9](?=[^A-Za-z0-9])|[^A-Za-z0-9](?=[A-Za-z0-9])")
     cover = F.char_length(v) - F.char_length(F.regexp_replace(F.lower(v), "|".join(sorted(DICTIONARY, key=len, reverse=True)), ""))
-    return rows.withColumn("value", value_of(F.col("word"))).withColumns({
+    return with_common(rows.withColumn("value", value_of(F.col("word"))), known).withColumns({
         "length": F.char_length(v).cast("double"),
         "upper": count(v, "[A-Z]") / n, "lower": count(v, "[a-z]") / n, "digit": count(v, "[0-9]") / n, "other": count(v, "[^A-Za-z0-9]") / n,
         "turns": turns / n,
@@ -91,46 +117,69 @@ def featured(rows: DataFrame) -> DataFrame:
         "repeats": count(v, r"(.)(?=\1)") / n,
         "before_name": flag(F.concat_ws(" ", "before2", "before").rlike(rf"(?i){NAME}\b")),
         "before_sign": flag(F.col("before").rlike(r"[:=]$")),
-        "before_other": flag(F.concat_ws(" ", "before2", "before").rlike(r"(?i)\b(?:commit|sha|hash|id|uuid|file|path|url|page|order|invoice|example|version|doi|isbn|see)\b")),
+        # what a bare value is called; where a name of a secret stands, other words say nothing
+        "before_other": flag(~named & F.concat_ws(" ", "before2", "before").rlike(r"(?i)\b(?:commit|sha|hash|id|uuid|file|path|url|page|order|invoice|example|version|doi|isbn|see)\b")),
+        "mock": flag(v.rlike(r"(?i)^(?:[<{$%].*|none|null|true|false|.*(?:your|change|example|dummy|sample|placeholder|getenv|environ|redacted|xxxx|\*\*\*|test).*)$")),
         "after_mock": flag(F.col("after").rlike(r"(?i)^\W*(?:example|sample|placeholder|dummy|redacted)")),
     })
 
 
 def labelled_findings(spark, rows: int = TRAIN_ROWS) -> DataFrame:
-    """before2, before, word, after, label: known forms of secrets (1) and of what resembles them (0), half of each."""
+    """before2, before, word, after, label, form: known forms of secrets (1) and of what resembles them (0), half of each.
+
+    Neighbours are drawn alike for both, so they tell nothing by themselves; a form may put words of its own there.
+    """
     h = lambda k: F.sha2(F.concat_ws("-", F.lit(k), "id"), 256)
+    draw = lambda k, own: F.element_at(F.array(*map(F.lit, own)), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(own))).cast("int") + 1)
     upper = F.translate(F.upper(F.substring(h(1), 1, 16)), "0189", "QXYZ")
     mixed = F.regexp_replace(F.base64(F.unhex(h(2))), "[+/=]", "x")
-    word = F.element_at(F.array(*map(F.lit, ("thonre", "edand", "lichung", "ciónes", "report", "value", "Note", "and"))), F.pmod(F.xxhash64("id"), F.lit(8)).cast("int") + 1)
-    name = F.element_at(F.array(*map(F.lit, ("password", "token", "secret", "api_key", "auth"))), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)).cast("int") + 1)
-    dictionary = lambda k: F.element_at(F.array(*map(F.lit, DICTIONARY)), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(DICTIONARY))).cast("int") + 1)
+    around, around2 = draw(20, AROUND), draw(21, AROUND)
+    name = draw(1, ("password", "token", "secret", "api_key", "auth", "db_password", "client-secret", "accessKey", "PASSWORD", "credentials"))
+    sign, quote = draw(2, ("=", ":", "=")), draw(3, ("", '"', "'"))
+    dictionary = lambda k: draw(k, DICTIONARY)
     digits = F.translate(F.substring(h(3), 1, 16), "abcdef", "123456")
     uuid = F.concat_ws("-", F.substring(h(4), 1, 8), F.substring(h(4), 9, 4), F.substring(h(4), 13, 4), F.substring(h(4), 17, 4), F.substring(h(4), 21, 12))
-    s = F.concat
+    hexes = F.substring(h(5), 1, draw(4, (18, 24, 32, 40, 64)))
+    short = F.concat(F.substring(mixed, 1, draw(5, (5, 8, 12))), draw(6, ("!7", "9x", "$2", "_4k")))
+    s, lit = F.concat, F.lit
+    given = lambda x: s(name, sign, quote, x, quote)
+    apart = lambda x: s(quote, x, quote)
     true = [
-        (word, word, s(F.lit("AKIA"), upper)),
-        (word, word, s(name, F.lit("="), F.substring(h(5), 1, 18))),
-        (name, F.lit("="), s(F.lit('"'), F.substring(h(6), 1, 40), F.lit('"'))),
-        (word, word, s(F.lit("ghp_"), F.substring(s(mixed, mixed), 1, 36))),
-        (word, word, s(F.lit("sk_live_"), F.substring(mixed, 1, 24))),
-        (word, s(name, F.lit(":")), F.substring(mixed, 1, 20)),
-        (word, word, s(name, F.lit("="), F.substring(mixed, 1, 12), F.lit("!7"))),
-        (word, word, s(F.lit("xoxb-"), digits, F.lit("-"), F.substring(mixed, 1, 24))),
+        (around2, around, s(lit("AKIA"), upper)),
+        (around2, around, s(lit("ghp_"), F.substring(s(mixed, mixed), 1, 36))),
+        (around2, around, s(lit("sk_live_"), F.substring(mixed, 1, 24))),
+        (around2, around, s(lit("xoxb-"), digits, lit("-"), F.substring(mixed, 1, 24))),
+        (around2, around, s(lit("AIza"), F.substring(s(mixed, mixed), 1, 35))),
+        (around2, around, given(hexes)),
+        (around2, around, given(short)),
+        (around2, around, given(F.substring(s(mixed, mixed), 1, draw(7, (16, 20, 40))))),
+        (name, lit("="), apart(hexes)),
+        (name, lit("="), apart(F.substring(mixed, 1, 20))),
+        (around, s(name, lit(":")), apart(F.substring(mixed, 1, 20))),
+        (around, s(name, lit("=")), apart(short)),
+        (around, s(name, lit(":")), apart(hexes)),
+        (name, lit(":"), apart(short)),
     ]
     false = [
-        (word, word, digits),
-        (word, word, s(F.lit("/usr/lib/"), dictionary(1), F.lit("/"), dictionary(2), F.lit("-"), F.substring(h(7), 1, 3), F.lit("/"), dictionary(3))),
-        (F.lit("commit"), word, F.substring(h(8), 1, 40)),
-        (F.lit("id"), word, uuid),
-        (word, word, s(name, F.lit("="), F.lit("changeme"), F.substring(digits, 1, 3))),
-        (word, word, s(name, F.lit("=your_"), dictionary(4), F.lit("_here"))),
-        (word, word, s(dictionary(5), F.lit("_"), dictionary(6), F.lit("_"), dictionary(7), F.lit("_"), F.substring(digits, 1, 2))),
-        (word, word, s(F.lit("https://www.example.com/"), dictionary(8), F.lit("/"), dictionary(9), F.lit("-"), digits)),
-        (word, word, s(dictionary(10), F.lit("."), F.substring(digits, 1, 2), F.lit("@mail"), F.substring(digits, 1, 1), F.lit(".example.com"))),
-        (word, word, s(name, F.lit("="), F.repeat(F.lit("x"), 16))),
-        (word, word, s(F.lit("AKIA"), F.lit("IOSFODNN7EXAMPLE"))),
-        (name, F.lit("="), s(dictionary(11), dictionary(12))),
-        (word, word, s(F.lit("2024-"), F.substring(digits, 1, 2), F.lit("-"), F.substring(digits, 3, 2), F.lit("_"), dictionary(13), F.lit("-"), dictionary(14))),
+        (around2, around, digits),
+        (around2, around, s(lit("/usr/lib/"), dictionary(1), lit("/"), dictionary(2), lit("-"), F.substring(h(7), 1, 3), lit("/"), dictionary(3))),
+        (around, draw(8, ("commit", "sha", "hash", "id", "version")), hexes),
+        (draw(9, ("commit", "sha256", "hash", "id")), around, F.substring(h(8), 1, 40)),
+        (around, draw(10, ("id", "uuid", "see")), uuid),
+        (around2, around, uuid),
+        (around2, around, given(s(lit("changeme"), F.substring(digits, 1, 3)))),
+        (around2, around, given(s(lit("your_"), dictionary(4), lit("_here")))),
+        (around2, around, given(s(lit("${"), F.upper(s(draw(23, ("", "db_", "my", "aws")), draw(24, ("token", "pass", "key", "secret", "pw", "cred", "jwt", "home")))), lit("}")))),
+        (around2, around, given(s(lit("<"), draw(25, AROUND), lit("-"), dictionary(16), lit(">")))),
+        (around2, around, given(F.repeat(lit("x"), 16))),
+        (around2, around, given(s(dictionary(11), dictionary(12), dictionary(13)))),
+        (around2, around, s(dictionary(5), lit("_"), dictionary(6), lit("_"), dictionary(7), lit("_"), F.substring(digits, 1, 2))),
+        (around2, around, s(lit("https://www.example.com/"), dictionary(8), lit("/"), dictionary(9), lit("-"), digits)),
+        (around2, around, s(dictionary(10), lit("."), F.substring(digits, 1, 2), lit("@mail"), F.substring(digits, 1, 1), lit(".example.com"))),
+        (around2, around, s(lit("AKIA"), lit("IOSFODNN7EXAMPLE"))),
+        (name, lit("="), apart(s(dictionary(11), dictionary(12)))),
+        (around, s(name, lit(":")), apart(s(dictionary(17), lit("_"), dictionary(18)))),
+        (around2, around, s(lit("2024-"), F.substring(digits, 1, 2), lit("-"), F.substring(digits, 3, 2), lit("_"), dictionary(13), lit("-"), dictionary(14))),
     ]
     base = spark.range(rows, numPartitions=1)
 
@@ -138,26 +187,41 @@ def labelled_findings(spark, rows: int = TRAIN_ROWS) -> DataFrame:
         k = F.pmod(F.floor(F.col("id") / 2), F.lit(len(own)))
         pick = lambda i: reduce(lambda e, j: F.when(k == j, own[j][i]).otherwise(e), range(1, len(own)), own[0][i])
         kept = base.where(F.pmod("id", F.lit(2)) == int(label))
-        return kept.select(pick(0).alias("before2"), pick(1).alias("before"), pick(2).alias("word"), word.alias("after"), F.lit(label).alias("label"))
+        return kept.select(pick(0).alias("before2"), pick(1).alias("before"), pick(2).alias("word"), draw(22, AROUND).alias("after"), F.lit(label).alias("label"), k.cast("int").alias("form"))
 
     return forms(true, 1.0).unionByName(forms(false, 0.0))
 
 
-def train(findings: DataFrame) -> PipelineModel:
+def train(findings: DataFrame, known: DataFrame | None = None) -> PipelineModel:
     """A forest over findings (before2, before, word, after, label)."""
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep")
-    rows = stored(assembler.transform(featured(findings)).select("features", "label"))
+    rows = stored(assembler.transform(featured(findings, known)).select("features", "label"))
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, maxBins=32, seed=11).fit(rows)
     return PipelineModel([assembler, forest])
 
 
+def scored(rows: DataFrame, model: PipelineModel, known: DataFrame | None = None) -> DataFrame:
+    """rows with value, score (the forest's probability of a secret), secret."""
+    p = F.round(F.element_at(vector_to_array("probability"), 2), 6)
+    return model.transform(featured(rows, known).where("value <> ''")).withColumn("score", p).withColumn("secret", p >= 0.5)
+
+
+def held_out_figures(findings: DataFrame, forms: int = 4) -> dict[str, float]:
+    """Precision and recall on every ``forms``-th form of findings (with form), by a forest trained on the other forms."""
+    out = F.pmod("form", F.lit(forms)) == forms - 1
+    got = scored(findings.where(out), train(findings.where(~out)))
+    n = got.agg(*(F.sum(((F.col("label") == label) & (F.col("secret") == secret)).cast("int")) for label, secret in ((1, True), (0, True), (1, False)))).first()
+    return {"precision": n[0] / max(1, n[0] + n[1]), "recall": n[0] / max(1, n[0] + n[2])}
+
+
 def scan(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     """doc_id, at, value, score (the forest's probability of a secret), secret: a row for each candidate."""
-    model = train(labelled_findings(docs.sparkSession) if findings is None else findings)
+    spark = docs.sparkSession
+    listed = spark.range(1).select(F.explode(F.array(*map(F.lit, DICTIONARY))).alias("part")).where(F.char_length("part") >= 4)
+    model = train(labelled_findings(spark) if findings is None else findings, listed)
+    known = vocabulary(docs).union(listed).distinct()
     rows = stored(candidates(docs))
-    scored = model.transform(featured(rows).where("value <> ''"))
-    p = F.round(F.element_at(vector_to_array("probability"), 2), 6)
-    return scored.select("doc_id", "at", "value", p.alias("score"), (p >= 0.5).alias("secret"))
+    return scored(rows, model, known).select("doc_id", "at", "value", "score", "secret")
 
 
 def op8_secret_forest(spark, sf_dir) -> DataFrame:

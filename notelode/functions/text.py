@@ -16,6 +16,29 @@ def stable_id(kind: str, *parts) -> Column:
     return F.concat(F.lit(f"{kind}_"), F.substring(F.sha2(joined, 256), 1, 24))
 
 
+def name_fingerprint(name) -> Column:
+    """What like names have in common: no remarks in parentheses, lower case, plural endings off each word, no marks within
+    words of which two letters or more are left, no spaces."""
+    bare = F.lower(F.regexp_replace(name, r"[（(][^（()）]*[)）]", ""))
+    words = F.filter(F.split(bare, r"(?U)\s+"), lambda w: w != "")
+
+    def stem(w: Column) -> Column:
+        n = F.char_length(w)
+        ending = (
+            F.when(w.endswith("ies") & (n > 4), F.concat(w.substr(F.lit(1), n - 3), F.lit("y")))
+            .when(w.rlike("(sses|xes|zes|ches|shes)$"), w.substr(F.lit(1), n - 2))
+            .when(w.endswith("s") & ~w.rlike("(ss|us|is|os|as)$"), w.substr(F.lit(1), n - 1)).otherwise(w)
+        )
+        return F.when((n > 3) & w.rlike("^[a-z]+$"), ending).otherwise(w)
+
+    def strip(w: Column) -> Column:
+        kept = F.regexp_replace(w, r"[^\p{L}\p{N}_]+", "")
+        return F.when(F.char_length(kept) > 1, kept).otherwise(w)
+
+    joined = F.array_join(F.transform(words, lambda w: strip(stem(w))), "")
+    return F.when(joined != "", joined).otherwise(F.regexp_replace(bare, r"(?U)\s+", ""))
+
+
 def normalize_body(c) -> Column:
     return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
 
@@ -51,13 +74,22 @@ def html_text(c) -> Column:
     return normalize_text(F.regexp_replace(c, r"<[^>]+>", " "))
 
 
+#: Query parameters that do not tell one page from another (fixed values).
+TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "spm")
+
+
 def normalize_url(c) -> Column:
-    """Lower-cased scheme and host, without fragment, tracking parameters, or a slash at the end."""
-    bare = F.regexp_replace(c, r"#.*$", "")
-    bare = F.regexp_replace(bare, r"[?&](utm_[a-z]+|ref|fbclid|gclid)=[^&]*", "")
-    head = F.lower(F.regexp_extract(bare, r"^([a-zA-Z]+://[^/?]*)", 1))
-    rest = F.regexp_replace(bare, r"^[a-zA-Z]+://[^/?]*", "")
-    return F.concat(head, F.regexp_replace(rest, r"/+$", ""))
+    """Lower case, without fragment, tracking parameters, or slashes at the path's end."""
+    raw = F.trim(c)
+    bare = F.regexp_replace(raw, "#.*$", "")
+    head = F.regexp_extract(bare, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?]+)", 1)
+    path = F.regexp_extract(bare, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?]+([^?]*)", 1)
+    asked = F.regexp_extract(bare, r"\?(.*)$", 1)
+    pairs = F.filter(F.split(asked, "&"), lambda p: (p != "") & ~F.lower(F.regexp_extract(p, "^([^=]*)", 1)).isin(*TRACKING))
+    pairs = F.transform(pairs, lambda p: F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("="))))
+    joined = F.array_join(pairs, "&")
+    path = F.when(path == "/", path).otherwise(F.regexp_replace(path, "/+$", ""))
+    return F.lower(F.when(head == "", raw).otherwise(F.concat(head, path, F.when(joined == "", "").otherwise(F.concat(F.lit("?"), joined)))))
 
 
 def block_kind(c) -> Column:

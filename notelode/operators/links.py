@@ -41,11 +41,11 @@ def neighbours(spark, sf_dir) -> DataFrame:
     return n.groupBy("item").agg(F.count("*").alias("neighbours"), F.min("other").alias("first"))
 
 
-@query(W("links") + ", w AS (SELECT src, dst, count(*) AS n, round(avg(weight), 4) AS mean FROM links WHERE src <> dst GROUP BY ALL) SELECT least(src, dst) AS a, greatest(src, dst) AS b, sum(n) AS links, max(mean) AS best FROM w GROUP BY ALL HAVING sum(n) >= 3")
+@query(W("links") + ", w AS (SELECT src, dst, count(*) AS n, round(avg(weight), 4) AS mean FROM links WHERE src <> dst GROUP BY ALL) SELECT least(src, dst) AS a, greatest(src, dst) AS b, sum(n) AS links, max(mean) AS best FROM w GROUP BY ALL")
 def edge_rollup(spark, sf_dir) -> DataFrame:
-    """Directed links rolled up to undirected edges of three links or more."""
+    """Directed links rolled up to undirected edges."""
     w = links(spark, sf_dir).where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"), F.round(F.avg("weight"), 4).alias("mean"))
-    return w.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("n").alias("links"), F.max("mean").alias("best")).where("links >= 3")
+    return w.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("n").alias("links"), F.max("mean").alias("best"))
 
 
 _OLD = "(SELECT path, md5(body) AS hash FROM notes WHERE doc_id % 7 <> 0)"

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notelode.operators.semantic import claim_conflicts
+from notelode.functions import text as X
+from notelode.operators.semantic import _PRINTS, _SIDES, claim_conflicts
 from notelode.plans.catalog import query
 from notelode.plans.store import claims, evidence, mentions, objects, table
 from notelode.plans.store import with_tables as W
@@ -58,10 +59,7 @@ def keep_reviewed(found: DataFrame, queue: DataFrame) -> DataFrame:
     return found.join(old, "id", "left").select("id", "fingerprint", status.alias("status"))
 
 
-_CONFLICTS = ", s AS (SELECT DISTINCT c.claim_id, c.direction, n.topic, substr(lower(c.statement), 1, 12) AS subject FROM claims c JOIN evidence e USING (claim_id) JOIN notes n USING (doc_id) WHERE c.status <> 'rejected'), f AS (SELECT DISTINCT a.claim_id || '|' || b.claim_id AS id, md5(a.claim_id || b.claim_id) AS fingerprint FROM s a JOIN s b ON a.subject = b.subject AND a.topic = b.topic AND a.claim_id < b.claim_id AND a.direction <> b.direction)"
-
-
-@query(W("claims", "evidence", "notes") + _CONFLICTS + " SELECT id, fingerprint, CASE WHEN ('0x' || substr(fingerprint, 1, 2))::int % 3 = 0 THEN 'reviewed' ELSE 'pending' END AS status FROM f")
+@query(_SIDES + ", r AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY subject, topic, direction ORDER BY claim_id) <= 10), f AS (SELECT DISTINCT least(a.claim_id, b.claim_id) || '|' || greatest(a.claim_id, b.claim_id) AS id, md5(least(a.claim_id, b.claim_id) || greatest(a.claim_id, b.claim_id)) AS fingerprint FROM r a JOIN r b ON a.subject = b.subject AND a.topic = b.topic WHERE a.direction = 'up' AND b.direction = 'down') SELECT id, fingerprint, CASE WHEN ('0x' || substr(fingerprint, 1, 2))::int % 3 = 0 THEN 'reviewed' ELSE 'pending' END AS status FROM f")
 def conflict_queue(spark, sf_dir) -> DataFrame:
     """Conflicts, against a queue in which a third is reviewed, a third is reviewed in another form, and a third is new."""
     found = claim_conflicts(spark, sf_dir).select(F.concat_ws("|", "claim_a", "claim_b").alias("id"), F.md5(F.concat("claim_a", "claim_b")).alias("fingerprint")).distinct()
@@ -103,10 +101,10 @@ def stale_parents(spark, sf_dir) -> DataFrame:
     return o.join(new, o.o_orderkey == new.l_orderkey).where("o_orderdate < shipped - interval 60 days").groupBy("o_custkey").agg(F.count("*").alias("stale"))
 
 
-@query(W("objects") + ", m AS (SELECT name, substr(name, 1, 6) AS fingerprint, kind FROM objects) SELECT a.fingerprint, count(*) AS pairs, min(a.name) AS first_entity, min(b.name) AS first_concept FROM m a JOIN m b ON a.fingerprint = b.fingerprint WHERE a.kind = 'entity' AND b.kind = 'concept' GROUP BY a.fingerprint")
+@query(_PRINTS + ", m AS (SELECT name, fingerprint, kind FROM f) SELECT a.fingerprint, count(*) AS pairs, min(a.name) AS first_entity, min(b.name) AS first_concept FROM m a JOIN m b ON a.fingerprint = b.fingerprint WHERE a.kind = 'entity' AND b.kind = 'concept' GROUP BY a.fingerprint")
 def cross_kind_pairs(spark, sf_dir) -> DataFrame:
     """Entities and concepts of one fingerprint: counted from the two sides' counts, so no pairs are made."""
-    o = objects(spark, sf_dir).withColumn("fingerprint", F.substring("name", 1, 6))
+    o = objects(spark, sf_dir).withColumn("fingerprint", X.name_fingerprint("name"))
     side = lambda kind: o.where(F.col("kind") == kind).groupBy("fingerprint").agg(F.count("*").alias(f"n_{kind}"), F.min("name").alias(f"first_{kind}"))
     both = side("entity").join(side("concept"), "fingerprint")
     return both.select("fingerprint", (F.col("n_entity") * F.col("n_concept")).alias("pairs"), "first_entity", "first_concept")

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from notelode.functions import text as X
 from notelode.plans.catalog import query
-from notelode.plans.store import blocks, change_log, claims, evidence, mentions, notes, objects, table, verifications
+from notelode.plans.checkpoints import stored
+from notelode.plans.store import blocks, bucket, change_log, claims, evidence, mentions, notes, objects, table, verifications, with_kinds
 from notelode.plans.store import with_tables as W
 
 
@@ -15,21 +17,21 @@ from notelode.plans.store import with_tables as W
 def top_objects(spark, sf_dir) -> DataFrame:
     """The most mentioned active objects, with the number of their documents."""
     m = mentions(spark, sf_dir).join(notes(spark, sf_dir).select("doc_id", "topic"), "doc_id")
-    o = objects(spark, sf_dir).where("status = 'active'")
+    per = m.groupBy("name", "doc_id").agg(F.count("*").alias("n"), F.min("topic").alias("topic"))  # before the count of documents
+    counts = per.groupBy("name").agg(F.sum("n").alias("mention_count"), F.count("*").alias("source_count"), F.min("topic").alias("first_topic"))
     return (
-        m.groupBy("name").agg(F.count("*").alias("mention_count"), F.countDistinct("doc_id").alias("source_count"), F.min("topic").alias("first_topic"))
-        .join(o.select("name", "kind"), "name").orderBy(F.desc("mention_count"), "name").limit(25)
+        with_kinds(counts).where("status = 'active'").orderBy(F.desc("mention_count"), "name").limit(25)
         .select("name", "kind", "mention_count", "source_count", "first_topic")
     )
 
 
-@query(W("objects") + "SELECT o.name, o.kind, o.confidence, count(m.ordinal) AS mention_count, count(DISTINCT m.doc_id) AS source_count FROM objects o LEFT JOIN mentions m ON m.name = o.name AND m.ordinal % 2 = 0 GROUP BY ALL")
+@query(W("objects") + "SELECT o.name, o.kind, o.confidence, count(m.ordinal) AS mention_count, count(DISTINCT m.doc_id) AS source_count FROM objects o LEFT JOIN mentions m ON m.name = o.name AND ('0x' || substr(md5(m.name || '-' || m.doc_id), 1, 2))::int < 200 GROUP BY ALL")
 def object_counts(spark, sf_dir) -> DataFrame:
     """Mentions and sources of every object; the filter on mentions stays in the join, so zeros are kept."""
-    m = mentions(spark, sf_dir).where("ordinal % 2 = 0")
-    counts = m.groupBy("name").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("s"))
-    zero = F.lit(0).cast("long")
-    return objects(spark, sf_dir).join(counts, "name", "left").select("name", "kind", "confidence", F.coalesce("n", zero).alias("mention_count"), F.coalesce("s", zero).alias("source_count"))
+    per = mentions(spark, sf_dir).groupBy("name", "doc_id").agg(F.count("*").alias("n"))
+    active = bucket(F.concat_ws("-", "name", F.col("doc_id").cast("string"))) < 200
+    counts = per.groupBy("name").agg(F.sum(F.when(active, F.col("n")).otherwise(0)).alias("mention_count"), F.count_if(active).alias("source_count"))
+    return with_kinds(counts).select("name", "kind", "confidence", "mention_count", "source_count")
 
 
 @query(W("objects") + ", c AS (SELECT o.*, coalesce(n, 0) AS n FROM objects o LEFT JOIN (SELECT name, count(*) AS n FROM mentions GROUP BY name) USING (name)) SELECT kind, count(*) FILTER (WHERE confidence < 0.6 AND n < 2) AS hidden, count(*) FILTER (WHERE NOT (confidence < 0.6 AND n < 2)) AS shown FROM c GROUP BY kind")
@@ -88,21 +90,65 @@ def claim_evidence_counts(spark, sf_dir) -> DataFrame:
     return e.join(latest_verdicts(spark, sf_dir), "claim_id")
 
 
-@query(W("claims", "evidence", "notes") + "SELECT e.claim_id, count(*) AS n, list_sort(list(DISTINCT n.path)) AS paths FROM evidence e JOIN notes n USING (doc_id) WHERE e.status = 'active' GROUP BY e.claim_id HAVING count(DISTINCT n.doc_id) >= 2")
+@query(W("claims", "evidence", "notes") + ", p AS (SELECT DISTINCT e.claim_id, n.path FROM evidence e JOIN notes n USING (doc_id) WHERE e.status = 'active'), c AS (SELECT claim_id, count(*) AS sources FROM p GROUP BY claim_id HAVING count(*) >= 2) SELECT claim_id, sources, path, rank FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY path) AS rank FROM p) JOIN c USING (claim_id) WHERE rank <= 5")
 def evidence_lists(spark, sf_dir) -> DataFrame:
-    """The sources of claims held by two notes or more, in order."""
-    e = evidence(spark, sf_dir).where("status = 'active'").join(notes(spark, sf_dir).select("doc_id", "path"), "doc_id")
-    return e.groupBy("claim_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("path")).alias("paths")).where(F.size("paths") >= 2)
+    """Of claims held by two notes or more the number of sources and the first five, as rows: no claim is one value.
 
+    row_number() up to a bound keeps five a claim before the shuffle.
+    """
+    p = evidence(spark, sf_dir).where("status = 'active'").join(notes(spark, sf_dir).select("doc_id", "path"), "doc_id").select("claim_id", "path").distinct()
+    counts = p.groupBy("claim_id").agg(F.count("*").alias("sources")).where("sources >= 2")
+    first = p.withColumn("rank", F.row_number().over(Window.partitionBy("claim_id").orderBy("path"))).where("rank <= 5")
+    return first.join(counts, "claim_id").select("claim_id", "sources", "path", "rank")
 
-@query(W("mentions") + ", d AS (SELECT DISTINCT name, doc_id FROM mentions) SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS shared, CASE WHEN count(*) >= 5 THEN 90 + least(count(*), 10) WHEN count(*) >= 3 THEN 70 + count(*) ELSE 0 END AS score FROM d a JOIN d b ON a.name = b.name AND a.doc_id < b.doc_id GROUP BY ALL HAVING count(*) >= 3")
+
+_SETS = W("mentions") + ", d AS (SELECT DISTINCT doc_id, name FROM mentions), k AS (SELECT doc_id, count(*) AS n, md5(string_agg(name, ' ' ORDER BY name)) AS sig FROM d GROUP BY doc_id), rep AS (SELECT min(doc_id) AS doc_id, any_value(n) AS n, count(*) AS members FROM k GROUP BY sig), rd AS (SELECT d.* FROM d JOIN rep USING (doc_id))"
+
+
+@query(_SETS + " SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS shared, CASE WHEN count(*) >= 5 THEN 90 + least(count(*), 10) ELSE 70 + count(*) END AS score FROM rd a JOIN rd b ON a.name = b.name AND a.doc_id < b.doc_id GROUP BY ALL HAVING count(*) >= 3")
 def semantic_shares(spark, sf_dir) -> DataFrame:
-    """Pairs of documents that share three object names or more, with the score of their tier."""
-    d = mentions(spark, sf_dir).select("name", "doc_id").distinct()
-    pairs = d.withColumnRenamed("doc_id", "doc_a").join(d.withColumnRenamed("doc_id", "doc_b"), "name").where("doc_a < doc_b")
+    """Pairs of documents that share three object names or more, with the score of their tier.
+
+    Documents with the very same names are one, so copies make no pairs among themselves.
+    """
+    reps, sets = distinct_sets(mentions(spark, sf_dir))
+    pairs = overlapping(reps, sets, lambda n: F.lit(3))
     n = F.col("shared")
-    score = F.when(n >= 5, 90 + F.least(n, F.lit(10))).when(n >= 3, 70 + n).otherwise(0)
-    return pairs.groupBy("doc_a", "doc_b").agg(F.count("*").alias("shared")).where("shared >= 3").withColumn("score", score)
+    return pairs.select("doc_a", "doc_b", "shared", F.when(n >= 5, 90 + F.least(n, F.lit(10))).otherwise(70 + n).alias("score"))
+
+
+@query(_SETS + " SELECT doc_id, first, members FROM (SELECT k.doc_id, min(k.doc_id) OVER (PARTITION BY sig) AS first, count(*) OVER (PARTITION BY sig) AS members FROM k) WHERE members > 1")
+def same_name_sets(spark, sf_dir) -> DataFrame:
+    """Documents with the very same object names: who stands for them in semantic_shares and object_jaccard."""
+    sets = mentions(spark, sf_dir).select("doc_id", "name").distinct().groupBy("doc_id").agg(F.md5(F.array_join(F.array_sort(F.collect_list("name")), " ")).alias("sig"))
+    reps = sets.groupBy("sig").agg(F.min("doc_id").alias("first"), F.count("*").alias("members")).where("members > 1")
+    return sets.join(reps, "sig").select("doc_id", "first", "members")
+
+
+def distinct_sets(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From found (doc_id, name): doc_id, n (names) of one document for each different set; and their rows doc_id, name, df."""
+    rows = found.select("doc_id", "name").distinct()
+    sets = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("name")).alias("names"))  # the names of one document
+    reps = stored(sets.groupBy(F.md5(F.array_join("names", " ")).alias("sig")).agg(F.min_by(F.struct("doc_id", "names"), "doc_id").alias("r")).select("r.*"))
+    each = reps.select("doc_id", F.explode("names").alias("name"))
+    df = each.groupBy("name").agg(F.count("*").alias("df"))
+    return reps.select("doc_id", F.size("names").alias("n"), "names"), each.join(df, "name")
+
+
+def overlapping(reps: DataFrame, sets: DataFrame, needed) -> DataFrame:
+    """doc_a, doc_b, shared: pairs of sets that share needed(n) names or more, n being the smaller need of the two.
+
+    Prefix filter: in order of rarity, two sets that share k names share one of the first n - k + 1 of each. Only those
+    few rarest names are joined, the pairs are made once, and whole sets are compared after that; nothing is left out.
+    """
+    order = Window.partitionBy("doc_id").orderBy("df", "name")
+    ranked = sets.withColumn("r", F.row_number().over(order)).join(reps.select("doc_id", "n"), "doc_id")
+    prefix = stored(ranked.where(F.col("r") <= F.col("n") - needed(F.col("n")) + 1).select("name", "doc_id", "n"))
+    a, b = (prefix.select("name", F.col("doc_id").alias(f"doc_{k}"), F.col("n").alias(f"n_{k}")) for k in "ab")
+    met = a.join(b, "name").where("doc_a < doc_b").where((F.col("n_b") >= needed(F.col("n_a"))) & (F.col("n_a") >= needed(F.col("n_b")))).select("doc_a", "doc_b").distinct()
+    whole = lambda k: reps.select(F.col("doc_id").alias(f"doc_{k}"), F.col("names").alias(f"names_{k}"), F.col("n").alias(f"n_{k}"))
+    both = met.join(whole("a"), "doc_a").join(whole("b"), "doc_b").withColumn("shared", F.size(F.array_intersect("names_a", "names_b")).cast("long"))
+    return both.where(F.col("shared") >= F.greatest(needed(F.col("n_a")), needed(F.col("n_b")))).select("doc_a", "doc_b", "shared", "n_a", "n_b")
 
 
 @query(W("objects") + ", k AS (SELECT m.doc_id, m.ordinal, o.name, o.kind, o.confidence FROM mentions m JOIN objects o USING (name)) SELECT e.name AS entity, c.name AS concept, count(*) AS blocks, min(least(e.confidence, c.confidence)) AS confidence FROM k e JOIN k c ON e.doc_id = c.doc_id AND e.ordinal = c.ordinal WHERE e.kind = 'entity' AND c.kind = 'concept' GROUP BY ALL HAVING count(*) >= 2")
@@ -130,29 +176,65 @@ def weighted_cooccurrence(spark, sf_dir) -> DataFrame:
     return p.where(kept).select("name_a", "name_b", F.col("n").alias("blocks"), F.round(weight, 4).alias("weight"))
 
 
-@query(W("objects") + ", f AS (SELECT *, substr(name, 1, 6) AS fingerprint FROM objects) SELECT fingerprint, name AS keeper, confidence, n AS merged FROM (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY confidence DESC, name) AS r, count(*) OVER (PARTITION BY fingerprint) AS n FROM f) WHERE r = 1 AND n > 1")
+_STEM = """CASE WHEN length(name) > 3 AND regexp_full_match(name, '[a-z]+') THEN CASE WHEN name LIKE '%ies' AND length(name) > 4 THEN left(name, -3) || 'y' WHEN regexp_matches(name, '(sses|xes|zes|ches|shes)$') THEN left(name, -2) WHEN name LIKE '%s' AND NOT regexp_matches(name, '(ss|us|is|os|as)$') THEN left(name, -1) ELSE name END ELSE name END"""
+_PRINTS = W("objects") + f", f AS (SELECT *, {_STEM} AS fingerprint FROM objects)"
+
+
+@query(_PRINTS + " SELECT fingerprint, name AS keeper, confidence, n AS merged FROM (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY confidence DESC, name) AS r, count(*) OVER (PARTITION BY fingerprint) AS n FROM f) WHERE r = 1 AND n > 1")
 def fingerprint_merge(spark, sf_dir) -> DataFrame:
     """Objects of one fingerprint are merged into the one of highest confidence."""
-    f = objects(spark, sf_dir).withColumn("fingerprint", F.substring("name", 1, 6))
+    f = objects(spark, sf_dir).withColumn("fingerprint", X.name_fingerprint("name"))
     best = F.min_by(F.struct("name", "confidence"), F.struct(-F.col("confidence"), "name")).alias("b")
     return f.groupBy("fingerprint").agg(best, F.count("*").alias("merged")).where("merged > 1").select("fingerprint", F.col("b.name").alias("keeper"), F.col("b.confidence").alias("confidence"), "merged")
 
 
-@query(W("objects") + ", f AS (SELECT *, substr(name, 1, 6) AS fingerprint FROM objects) SELECT name FROM f a WHERE EXISTS (SELECT 1 FROM f b WHERE b.fingerprint = a.fingerprint AND (b.confidence > a.confidence OR (b.confidence = a.confidence AND b.name < a.name)))")
+@query(_PRINTS + ", k AS (SELECT name, first_value(name) OVER (PARTITION BY fingerprint ORDER BY confidence DESC, name) AS keeper FROM f) SELECT keeper AS name, doc_id, ordinal FROM (SELECT DISTINCT k.keeper, m.doc_id, m.ordinal FROM mentions m JOIN k USING (name) WHERE m.name <> k.keeper)")
+def moved_mentions(spark, sf_dir) -> DataFrame:
+    """The mentions that merges by fingerprint move to another object, each once."""
+    f = objects(spark, sf_dir).withColumn("fingerprint", X.name_fingerprint("name"))
+    keeper = f.groupBy("fingerprint").agg(F.min_by("name", F.struct(-F.col("confidence"), "name")).alias("keeper"))
+    moved = f.join(keeper, "fingerprint").where("name <> keeper").select("name", "keeper")
+    return mentions(spark, sf_dir).join(moved, "name").select(F.col("keeper").alias("name"), "doc_id", "ordinal").distinct()
+
+
+@query(_PRINTS + " SELECT name FROM f a WHERE EXISTS (SELECT 1 FROM f b WHERE b.fingerprint = a.fingerprint AND (b.confidence > a.confidence OR (b.confidence = a.confidence AND b.name < a.name)))")
 def dominated_duplicates(spark, sf_dir) -> DataFrame:
-    """Objects that a like-named one of higher confidence makes needless."""
-    f = objects(spark, sf_dir).withColumn("fingerprint", F.substring("name", 1, 6))
-    rank = F.row_number().over(Window.partitionBy("fingerprint").orderBy(F.desc("confidence"), "name"))
-    return f.withColumn("r", rank).where("r > 1").select("name")
+    """Objects that a like-named one of higher confidence makes needless: all but the best of each fingerprint, which one
+    aggregate finds before any shuffle of rows."""
+    f = objects(spark, sf_dir).withColumn("fingerprint", X.name_fingerprint("name"))
+    best = f.groupBy("fingerprint").agg(F.min_by("name", F.struct(-F.col("confidence"), "name")).alias("name"))
+    return f.join(best.select("name"), "name", "left_anti").select("name")
+
+
+_SIDES = W("claims", "evidence", "notes") + ", s AS (SELECT DISTINCT c.claim_id, c.direction, n.topic, substr(lower(c.statement), 1, 12) AS subject FROM claims c JOIN evidence e USING (claim_id) JOIN notes n USING (doc_id) WHERE c.status <> 'rejected')"
+
 
+def claim_sides(spark, sf_dir) -> DataFrame:
+    """claim_id, direction, topic, subject: what each claim says where."""
+    s = evidence(spark, sf_dir).select("claim_id", "doc_id").distinct().join(claims(spark, sf_dir).where("status <> 'rejected'"), "claim_id").join(notes(spark, sf_dir).select("doc_id", "topic"), "doc_id")
+    return s.select("claim_id", "direction", "topic", F.substring(F.lower("statement"), 1, 12).alias("subject")).distinct()
 
-@query(W("claims", "evidence", "notes") + ", s AS (SELECT DISTINCT c.claim_id, c.direction, n.topic, substr(lower(c.statement), 1, 12) AS subject FROM claims c JOIN evidence e USING (claim_id) JOIN notes n USING (doc_id) WHERE c.status <> 'rejected') SELECT a.claim_id AS claim_a, b.claim_id AS claim_b, a.topic FROM s a JOIN s b ON a.subject = b.subject AND a.topic = b.topic AND a.claim_id < b.claim_id AND a.direction <> b.direction")
+
+@query(_SIDES + ", r AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY subject, topic, direction ORDER BY claim_id) <= 10) SELECT least(a.claim_id, b.claim_id) AS claim_a, greatest(a.claim_id, b.claim_id) AS claim_b, a.topic FROM r a JOIN r b ON a.subject = b.subject AND a.topic = b.topic WHERE a.direction = 'up' AND b.direction = 'down'")
 def claim_conflicts(spark, sf_dir) -> DataFrame:
-    """Claims on one subject and topic that say opposite things."""
-    s = evidence(spark, sf_dir).select("claim_id", "doc_id").join(claims(spark, sf_dir).where("status <> 'rejected'"), "claim_id").join(notes(spark, sf_dir).select("doc_id", "topic"), "doc_id")
-    s = s.select("claim_id", "direction", "topic", F.substring(F.lower("statement"), 1, 12).alias("subject")).distinct()
-    a, b = (s.select("subject", "topic", F.col("claim_id").alias(f"claim_{k}"), F.col("direction").alias(f"d{k}")) for k in "ab")
-    return a.join(b, ["subject", "topic"]).where("claim_a < claim_b and da <> db").select("claim_a", "claim_b", "topic")
+    """Claims on one subject and topic that say opposite things: the first ten of either side, so a hundred pairs at most."""
+    return conflicts_of(claim_sides(spark, sf_dir))
+
+
+def conflicts_of(sides: DataFrame, most: int = 10) -> DataFrame:
+    """claim_a, claim_b, topic: pairs of the first ``most`` claims of either direction; conflict_classes tells of all."""
+    w = Window.partitionBy("subject", "topic", "direction").orderBy("claim_id")
+    few = sides.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
+    a, b = (few.where(F.col("direction") == d).select("subject", "topic", F.col("claim_id").alias(d)) for d in ("up", "down"))
+    return a.join(b, ["subject", "topic"]).select(F.least("up", "down").alias("claim_a"), F.greatest("up", "down").alias("claim_b"), "topic")
+
+
+@query(_SIDES + " SELECT subject, topic, count(*) FILTER (WHERE direction = 'up') AS up, count(*) FILTER (WHERE direction = 'down') AS down, min(claim_id) FILTER (WHERE direction = 'up') AS first_up, min(claim_id) FILTER (WHERE direction = 'down') AS first_down FROM s GROUP BY ALL HAVING count(DISTINCT direction) = 2")
+def conflict_classes(spark, sf_dir) -> DataFrame:
+    """Every subject and topic on which claims say opposite things, with the numbers of both sides: no pairs, none left out."""
+    side = lambda d, f: f(F.when(F.col("direction") == d, F.col("claim_id")))
+    c = claim_sides(spark, sf_dir).groupBy("subject", "topic").agg(*(side(d, f).alias(n) for d, f, n in (("up", F.count, "up"), ("down", F.count, "down"), ("up", F.min, "first_up"), ("down", F.min, "first_down"))))
+    return c.where("up > 0 and down > 0")
 
 
 @query(W("claims", "evidence", "notes", "objects") + "SELECT (SELECT count(*) FROM notes) AS n_notes, (SELECT count(*) FROM blocks) AS n_blocks, (SELECT count(*) FROM mentions) AS n_mentions, (SELECT count(*) FROM objects) AS n_objects, (SELECT count(*) FROM claims) AS n_claims, (SELECT count(*) FROM claims WHERE status = 'active') AS n_active, (SELECT max(ordinal) FROM blocks) AS longest")
@@ -185,12 +267,13 @@ def topic_tree(spark, sf_dir) -> DataFrame:
     return t.groupBy("topic").agg(F.count("*").alias("files")).select("topic", F.size(F.split("topic", " > ")).cast("long").alias("depth"), "files")
 
 
-@query(W("notes") + "SELECT topic, sha256(string_agg(doc_id || ':' || md5(body), ',' ORDER BY doc_id)) AS state FROM notes GROUP BY topic")
+@query(W("notes") + ", r AS (SELECT topic, doc_id // 1000 AS range, sha256(string_agg(doc_id || ':' || md5(body), ',' ORDER BY doc_id)) AS h FROM notes GROUP BY ALL) SELECT topic, sha256(string_agg(range || ':' || h, ',' ORDER BY range)) AS state FROM r GROUP BY topic")
 def topic_state(spark, sf_dir) -> DataFrame:
-    """A hash of each topic's ordered members and their contents."""
-    member = F.struct("doc_id", F.md5("body").alias("h"))
-    listed = F.transform(F.sort_array(F.collect_list(member)), lambda x: F.concat_ws(":", x.doc_id.cast("string"), x.h))
-    return notes(spark, sf_dir).groupBy("topic").agg(F.sha2(F.array_join(listed, ","), 256).alias("state"))
+    """A hash of each topic's ordered members and their contents, by ranges of a thousand ids: a hash of each range's members,
+    then one of the ranges' hashes, so no task holds more than a range or a topic's ranges."""
+    listed = lambda key, value: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, value.alias("h")))), lambda x: F.concat_ws(":", x[key].cast("string"), x.h)), ",")
+    ranges = notes(spark, sf_dir).groupBy("topic", F.floor(F.col("doc_id") / 1000).alias("range")).agg(F.sha2(listed("doc_id", F.md5("body")), 256).alias("h"))
+    return ranges.groupBy("topic").agg(F.sha2(listed("range", F.col("h")), 256).alias("state"))
 
 
 @query(W("blocks") + "SELECT hash, count(*) AS copies, count(DISTINCT doc_id) AS docs FROM blocks WHERE length(content) >= 100 GROUP BY hash HAVING count(*) > 1")

@@ -53,7 +53,7 @@ def page_text(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.md5(X.html_text("html")).alias("text_md5"))
 
 
-@query("WITH u AS (SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '[?&](utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '', 'g') AS b FROM pages), n AS (SELECT page_id, lower(regexp_extract(b, '^([a-zA-Z]+://[^/?]*)', 1)) || regexp_replace(regexp_replace(b, '^[a-zA-Z]+://[^/?]*', ''), '/+$', '') AS norm FROM u) SELECT norm, min(page_id) AS page_id, count(*) AS copies FROM n GROUP BY norm")
+@query("WITH u AS (SELECT page_id, trim(url) AS raw, regexp_replace(trim(url), '#.*$', '') AS b FROM pages), x AS (SELECT *, regexp_extract(b, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?]+)', 1) AS head, regexp_extract(b, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?]+([^?]*)', 1) AS path, list_filter(string_split(regexp_extract(b, '[?](.*)$', 1), '&'), lambda p: p <> '' AND lower(regexp_extract(p, '^([^=]*)', 1)) NOT IN ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'gclid', 'fbclid', 'spm')) AS ps FROM u), n AS (SELECT page_id, lower(CASE WHEN head = '' THEN raw ELSE head || CASE WHEN path = '/' THEN path ELSE regexp_replace(path, '/+$', '') END || CASE WHEN len(ps) = 0 THEN '' ELSE '?' || array_to_string(list_transform(ps, lambda p: CASE WHEN contains(p, '=') THEN p ELSE p || '=' END), '&') END END) AS norm FROM x) SELECT norm, min(page_id) AS page_id, count(*) AS copies FROM n GROUP BY norm")
 def url_dedup(spark, sf_dir) -> DataFrame:
     """The first page of each normalised url."""
     p = table(spark, sf_dir, "pages").select("page_id", X.normalize_url("url").alias("norm"))

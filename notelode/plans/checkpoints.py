@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which the driver and all executors share; where that is unset, a temporary one
+    in local mode, and an error on a cluster."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"file://{tempfile.gettempdir()}/notelode-checkpoints"
+    return root.rstrip("/")
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df, written to the folder in spark.checkpoint.dir (a folder of this machine only where that is unset) and read again."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/notelode-checkpoints"
-    path = f"{root.rstrip('/')}/plan-{uuid.uuid4().hex}"
+    """df, written to the shared folder and read again."""
+    path = f"{shared_dir(df.sparkSession)}/plan-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -37,16 +37,21 @@ def blocks(spark, sf_dir) -> DataFrame:
 
 
 def mentions(spark, sf_dir) -> DataFrame:
-    """name, doc_id, ordinal: the long words (10 letters or more) of each block, once a block."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("([a-z]{10,})"), F.lit(1)))
+    """name, doc_id, ordinal: the long words (8 letters or more, of any script) of each block, once a block."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(r"(\p{L}{8,})"), F.lit(1)))
     return blocks(spark, sf_dir).select(F.explode(words).alias("name"), "doc_id", "ordinal")
 
 
-def objects(spark, sf_dir) -> DataFrame:
-    """name, kind (entity or concept), confidence, status: a row for each name that is mentioned."""
-    names = mentions(spark, sf_dir).select("name").distinct()
+def objects(spark, sf_dir, found: DataFrame | None = None) -> DataFrame:
+    """name, kind (entity or concept), confidence, status: a row for each name that is mentioned (in found, if given)."""
+    names = (mentions(spark, sf_dir) if found is None else found).select("name").distinct()
+    return with_kinds(names)
+
+
+def with_kinds(names: DataFrame) -> DataFrame:
+    """The attributes of objects, from their names alone."""
     return names.select(
-        "name",
+        *names.columns,
         F.when(bucket("name") % 2 == 0, "entity").otherwise("concept").alias("kind"),
         F.round(bucket("name", 3) / 255, 2).alias("confidence"),
         F.when(bucket("name", 5) < 224, "active").otherwise("inactive").alias("status"),
@@ -98,7 +103,7 @@ def links(spark, sf_dir) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     status = F.when(F.col("l_returnflag") == "R", "confirmed").when(F.col("l_returnflag") == "A", "pending").otherwise("suggested")
     return li.select(
-        (F.col("l_orderkey") % 500).alias("src"), (F.col("l_partkey") % 500).alias("dst"), status.alias("status"),
+        F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), status.alias("status"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_quantity").alias("weight"),
     )
 
@@ -110,13 +115,13 @@ def _bucket(text: str, start: int = 1) -> str:
 CTES = {
     "notes": """notes AS (SELECT doc_id, 'Notes/' || lang || '/' || source || '/' || doc_id || '.md' AS path, lang || ' > ' || source AS topic, [lang, source] AS tags, text AS body FROM documents)""",
     "blocks": """blocks AS (SELECT *, md5(lower(content)) AS hash FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ordinal, trim(unnest(string_split(text, chr(10))), ' ') AS content FROM documents) WHERE content <> '')""",
-    "mentions": """mentions AS (SELECT unnest(list_distinct(regexp_extract_all(lower(content), '[a-z]{10,}'))) AS name, doc_id, ordinal FROM blocks)""",
+    "mentions": """mentions AS (SELECT unnest(list_distinct(regexp_extract_all(lower(content), '\\p{L}{8,}'))) AS name, doc_id, ordinal FROM blocks)""",
     "objects": f"""objects AS (SELECT name, CASE WHEN {_bucket('name')} % 2 = 0 THEN 'entity' ELSE 'concept' END AS kind, round({_bucket('name', 3)} / 255, 2) AS confidence, CASE WHEN {_bucket('name', 5)} < 224 THEN 'active' ELSE 'inactive' END AS status FROM (SELECT DISTINCT name FROM mentions))""",
     "claims": f"""claims AS (SELECT hash AS claim_id, statement, CASE WHEN {_bucket('hash')} < 160 THEN 'active' WHEN {_bucket('hash')} < 220 THEN 'disputed' ELSE 'rejected' END AS status, round({_bucket('hash', 3)} / 255, 2) AS confidence, CASE WHEN {_bucket('hash', 5)} % 2 = 0 THEN 'up' ELSE 'down' END AS direction FROM (SELECT hash, min(content) AS statement FROM blocks WHERE length(content) >= 40 GROUP BY hash))""",
     "evidence": f"""evidence AS (SELECT hash AS claim_id, doc_id, ordinal, CASE WHEN {_bucket("hash || '-' || doc_id")} < 200 THEN 'active' ELSE 'excluded' END AS status FROM blocks WHERE length(content) >= 40)""",
     "verifications": """verifications AS (SELECT claim_id, CASE WHEN toxic = 1 THEN 'refuted' WHEN quality = 1 THEN 'supported' ELSE 'unclear' END AS verdict, doc_id AS checked_at, ordinal FROM evidence JOIN labels USING (doc_id))""",
     "change_log": """change_log AS (SELECT event_id AS id, ts AS created_at, event_type AS change_kind, CASE user_id % 3 WHEN 0 THEN 'entity' WHEN 1 THEN 'concept' ELSE 'claim' END AS object_kind, user_id AS object_id, props AS detail FROM events)""",
-    "links": """links AS (SELECT l_orderkey % 500 AS src, l_partkey % 500 AS dst, CASE l_returnflag WHEN 'R' THEN 'confirmed' WHEN 'A' THEN 'pending' ELSE 'suggested' END AS status, l_orderkey * 10 + l_linenumber AS pos, l_quantity AS weight FROM lineitem)""",
+    "links": """links AS (SELECT l_orderkey AS src, l_partkey AS dst, CASE l_returnflag WHEN 'R' THEN 'confirmed' WHEN 'A' THEN 'pending' ELSE 'suggested' END AS status, l_orderkey * 10 + l_linenumber AS pos, l_quantity AS weight FROM lineitem)""",
 }
 _NEEDS = {"blocks": [], "mentions": ["blocks"], "objects": ["mentions"], "claims": ["blocks"], "evidence": ["blocks"], "verifications": ["evidence"]}
 

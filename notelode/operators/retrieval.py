@@ -1,4 +1,4 @@
-"""Hybrid retrieval: BM25 and dense scores, fusion, diversity, unique sources.
+"""Sparse and dense scores, diversity, unique sources; hybrid.py fuses them.
 
 Query sets are tables. Documents whose id is divisible by 100 give the queries: their words from the 2nd to the 6th.
 """
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from notelode.functions import text as X
+from notelode.operators.dense import nearest
 from notelode.plans.catalog import query
 from notelode.plans.store import table
 
@@ -85,43 +86,9 @@ def global_idf(spark, sf_dir) -> DataFrame:
 
 @query("WITH q AS (SELECT vec_id AS query_id, embedding AS qe FROM embeddings WHERE vec_id % 100 = 0) SELECT query_id, vec_id, round(s, 4) AS score FROM (SELECT query_id, vec_id, list_dot_product(qe::double[], embedding::double[]) AS s FROM q, embeddings WHERE vec_id <> query_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 4) DESC, vec_id) <= 6")
 def dense_top6(spark, sf_dir) -> DataFrame:
-    """The six nearest vectors of each query vector (ids divisible by 100), exactly: query blocks against all rows.
-
-    Blocks of 256 queries are rows of their own, so every task holds one block and one batch of vectors; each batch keeps
-    six a query before the shuffle.
-    """
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    q = e.where("vec_id % 100 = 0").select(F.floor(F.col("vec_id") / 25_600).alias("block"), F.struct("vec_id", "embedding").alias("q"))
-    return top_of_blocks(e, q.groupBy("block").agg(F.sort_array(F.collect_list("q")).alias("queries")), 6)
-
-
-def top_of_blocks(vectors: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, score: each block of queries against all vectors."""
-    spark = vectors.sparkSession
-
-    def run(batches):
-        import numpy as np
-        import pandas as pd
-
-        for b in batches:
-            for _, part in b.groupby("block", sort=False):
-                queries = part["queries"].iloc[0]
-                ids = np.array([x["vec_id"] for x in queries])
-                left = np.stack([np.asarray(x["embedding"], np.float64) for x in queries])
-                right = np.stack([np.asarray(x, np.float64) for x in part["embedding"]])
-                own = part["vec_id"].to_numpy()
-                sims = np.round(left @ right.T, 4)
-                sims[ids[:, None] == own[None, :]] = -np.inf
-                for i, row in zip(ids.tolist(), sims, strict=True):
-                    best = np.lexsort((own, -row))[:k]
-                    best = best[row[best] > -np.inf]
-                    yield pd.DataFrame({"query_id": i, "vec_id": own[best], "score": row[best]})
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    pairs = vectors.join(blocks)  # one row of a block for each vector: queries are 1 % of rows, 256 a block
-    got = pairs.mapInPandas(run, "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return got.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+    """The six nearest vectors of each query vector (ids divisible by 100), exactly: query blocks against all rows."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.lit(None).cast("string").alias("scope"))
+    return nearest(e, e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), 6)
 
 
 @query("SELECT label, n, round(sqrt(list_sum(list_transform(c, lambda x: x * x))), 4) AS norm FROM (SELECT label, max(n) AS n, list(a ORDER BY i) AS c FROM (SELECT label, i, avg(v) AS a, count(*) AS n FROM (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::double AS v FROM embeddings) GROUP BY ALL) GROUP BY label)")

@@ -25,10 +25,13 @@ from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
-from notelode.llm.base import DOC_COLUMNS, in_parts, table, workers_find_package
+from notelode.llm.base import DOC_COLUMNS, table, workers_find_package
 
 ALPHA = 1.0
 SEED = 29
@@ -243,44 +246,54 @@ def lattice(model: str, alpha: float) -> Lattice:
     return _worker["lattice"]
 
 
+def arrow_parts(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in slices of about so many characters of text; a slice is a view, not a copy."""
+    for b in batches:
+        sizes = pc.fill_null(pc.utf8_length(b.column("text")), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes) // chars
+        bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+        yield from (b.slice(x, y - x) for x, y in pairwise(bounds) if y > x)
+
+
 def encode(docs: DataFrame, model: str, alpha: float = ALPHA, seed: int = SEED, digest: bool = False) -> DataFrame:
-    """The columns of docs, ids (array of int), lossless: a row for each row of docs.
+    """The columns of docs, ids (array of int), lossless: a row for each row of docs. Columns of docs that have these two
+    names are replaced.
 
     With digest: doc_id, n_ids, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), n_bytes and
     decoded_sha256 (of the text decoded from the ids), lossless instead.
     """
     workers_find_package(docs.sparkSession)
+    docs = docs.select("doc_id", "text") if digest else docs.select(*[c for c in docs.columns if c not in ("ids", "lossless")])
     fields = "doc_id long, n_ids long, ids_crc32 long, n_bytes long, decoded_sha256 string, lossless boolean"
-    schema = fields if digest else [*docs.schema.fields]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in in_parts(batches, PART_CHARS):
-            texts = [x or "" for x in b["text"].tolist()]
-            model_lattice = lattice(model, alpha)
-            rows = b["doc_id"].fillna(-1).to_numpy(np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model_lattice = lattice(model, alpha)
+        for b in arrow_parts(batches, PART_CHARS):
+            texts = [x or "" for x in b.column("text").to_pylist()]
+            rows = pc.fill_null(b.column("doc_id"), -1).to_numpy(zero_copy_only=False).astype(np.int64)
             ids, number = model_lattice.sample(texts, rows, seed)
-            each = np.split(ids, np.cumsum(number)[:-1])
+            ends = np.cumsum(number)
+            each = np.split(ids, ends[:-1])
             decoded = [model_lattice.decode(x) for x in each]
-            lossless = [x == y for x, y in zip(texts, decoded, strict=True)]
+            lossless = pa.array([x == y for x, y in zip(texts, decoded, strict=True)], pa.bool_())
             if digest:
                 raw = [x.encode("utf-8", "surrogatepass") for x in decoded]
-                yield pd.DataFrame({
-                    "doc_id": b["doc_id"].astype("Int64"), "n_ids": number, "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in each],
-                    "n_bytes": list(map(len, raw)), "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in raw], "lossless": lossless,
-                })
+                crc = pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in each], pa.int64())
+                sha = pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string())
+                columns = {"doc_id": b.column("doc_id"), "n_ids": pa.array(number), "ids_crc32": crc, "n_bytes": pa.array(map(len, raw), pa.int64()), "decoded_sha256": sha, "lossless": lossless}
             else:
-                yield b.assign(ids=[x.astype(np.int32) for x in each], lossless=lossless)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids.astype(np.int32)))
+                columns = dict(zip(b.schema.names, b.columns, strict=True)) | {"ids": lists, "lossless": lossless}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     if digest:
-        return docs.select("doc_id", "text").mapInPandas(run, schema)
-    from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
-
-    out = StructType([*schema, StructField("ids", ArrayType(IntegerType())), StructField("lossless", BooleanType())])
-    return docs.mapInPandas(run, out)
+        return docs.mapInArrow(run, fields)
+    out = StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("lossless", BooleanType())])
+    return docs.mapInArrow(run, out)
 
 
 def decode(rows: DataFrame, model: str, ids: str = "ids") -> DataFrame:
-    """rows with decoded: the text of each row's ids; null ids give null."""
+    """rows with decoded: the text of each row's ids; null ids give null. A column decoded of rows is replaced."""
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("string")
@@ -302,5 +315,6 @@ def op9_sentencepiece(spark, sf_dir) -> DataFrame:
 
 
 def pieces_stage(spark, docs, sf_dir) -> DataFrame:
-    """The documents with their ids."""
+    """The documents with their ids: a row for each row, nulls and repeats included; an empty table gives an empty result.
+    Extra columns are left out."""
     return encode(docs.select(*DOC_COLUMNS), _model())

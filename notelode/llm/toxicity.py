@@ -8,7 +8,8 @@ The lexicon is learned from labelled training documents: folded words, and stems
 that many toxic documents hold and few others; of stems that begin alike the shortest is kept.
 Support is counted over different least word hashes, so a group of near copies counts about once. Candidates must be in
 ``min_share`` of the toxic training documents, so there are at most (stems of a document / min_share) of them: a
-bound that does not grow with the data. Of these the ``top`` best are kept. The curve is fitted to a histogram of
+bound that does not grow with the data, and all of them that tell are kept. Words are counted as they are matched, by the
+same folding. The curve is fitted to a histogram of
 densities. Lexicon and curve are fitted on at most about ``train_rows`` labelled documents, chosen by hash; these ids are
 the only table that is broadcast. Every document is scored.
 
@@ -33,7 +34,8 @@ from notelode.llm.base import WORD, in_parts, stored, table, workers_find_packag
 MIN_SHARE = 0.01
 MIN_SUPPORT = 3
 MIN_RATIO = 3.0  # natural log of toxic over clean document frequency
-TOP = 2000
+#: Parts in which the training documents are counted.
+TRAIN_PARTS = 64
 #: Lengths of stems.
 STEMS = (4, 10)
 TRAIN_ROWS = 50_000
@@ -98,10 +100,16 @@ def density(matcher: Matcher, text: str | None) -> tuple[float, int]:
     return (sum(w for _, _, w in hits) / len(re.findall(WORD, text)), len(hits)) if hits else (0.0, 0)
 
 
-def folded_words(text: str) -> Column:
-    """About the same fold as an SQL expression, for counting: different words of each text."""
-    x = F.translate(F.lower(F.col(text)), FROM, TO)
-    return F.array_distinct(F.regexp_extract_all(x, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
+def folded_words(docs: DataFrame) -> DataFrame:
+    """The columns of docs but text, and w: the different folded words of each text."""
+    workers_find_package(docs.sparkSession)
+    kept = [c for c in docs.columns if c != "text"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in in_parts(batches):
+            yield b[kept].assign(w=[sorted(set(split_folded(fold(x or "")))) for x in b["text"]])
+
+    return docs.mapInPandas(run, ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes if c != "text"), "w array<string>"]))
 
 
 def with_stems(words: str) -> Column:
@@ -112,27 +120,28 @@ def with_stems(words: str) -> Column:
     return F.array_union(F.filter(words, lambda w: F.char_length(w) >= 3), F.flatten(F.transform(long, stems)))
 
 
-def learn_lexicon(train: DataFrame, min_share: float = MIN_SHARE, min_ratio: float = MIN_RATIO, top: int = TOP) -> list[tuple[str, float]]:
-    """Words, stems and weights from train (text, toxic); the weight is the smoothed log ratio of document frequencies."""
-    toxic = train.where("toxic = 1").select(folded_words("text").alias("w"))
-    toxic = toxic.select(F.array_min(F.transform("w", lambda x: F.xxhash64(x))).alias("near"), with_stems("w").alias("w"))
+def learn_lexicon(train: DataFrame, min_share: float = MIN_SHARE, min_ratio: float = MIN_RATIO) -> list[tuple[str, float]]:
+    """Words, stems and weights from train (w: different folded words, toxic); the weight is the smoothed log ratio of
+    document frequencies. Of stems that begin alike the shortest is kept."""
     n_toxic, n_clean = (train.where(f"toxic = {k}").count() for k in (1, 0))
     if not n_toxic or not n_clean:
         return []
-    near = toxic.select("near").distinct().count()
-    words = toxic.select("near", F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("k"), F.approx_count_distinct("near", 0.02).alias("support"))
-    words = stored(words.where((F.col("support") >= max(MIN_SUPPORT, min_share * near)) & (F.col("k") >= min_share * n_toxic)).select("word", "k"))
-    clean = train.where("toxic = 0").select(folded_words("text").alias("w")).select(F.explode(with_stems("w")).alias("word"))
-    clean = clean.join(F.broadcast(words.select("word")), "word").groupBy("word").agg(F.count("*").alias("c"))
+    near = F.array_min(F.transform("w", lambda x: F.xxhash64(x)))
+    toxic = train.where("toxic = 1").select(near.alias("near"), F.explode(with_stems("w")).alias("word"))
+    groups = train.where("toxic = 1").select(near.alias("near")).distinct().count()
+    words = toxic.groupBy("word").agg(F.count("*").alias("k"), F.approx_count_distinct("near", 0.02).alias("support"))
+    words = stored(words.where((F.col("support") >= max(MIN_SUPPORT, min_share * groups)) & (F.col("k") >= min_share * n_toxic)).select("word", "k"))
+    clean = train.where("toxic = 0").select(F.explode(with_stems("w")).alias("word"))
+    clean = clean.join(F.broadcast(words.select("word")), "word").groupBy("word").agg(F.count("*").alias("c"))  # at most stems / min_share words
     ratio = F.log((F.col("k") + 0.5) / (n_toxic + 1)) - F.log((F.coalesce("c", F.lit(0)) + 0.5) / (n_clean + 1))
     best = words.join(clean, "word", "left").select("word", F.round(ratio, 6).alias("weight")).where(F.col("weight") >= min_ratio)
-    found = {r.word: r.weight for r in best.orderBy(F.desc("weight"), "word").limit(8 * top).collect()}
+    found = {r.word: r.weight for r in best.collect()}
     kept: dict[str, float] = {}
     for word in sorted(found, key=lambda w: (len(w.rstrip("*")), w)):
         bare = word.rstrip("*")
         if not any(f"{bare[:k]}*" in kept for k in range(STEMS[0], len(bare) + 1)):
             kept[word] = found[word]
-    return sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:top]
+    return sorted(kept.items(), key=lambda x: (-x[1], x[0]))
 
 
 def densities(docs: DataFrame, lexicon: list[tuple[str, float]], exceptions: Iterable[str] = EXCEPTIONS) -> DataFrame:
@@ -177,7 +186,8 @@ def score(docs: DataFrame, labels: DataFrame, exceptions: Iterable[str] = EXCEPT
     n = marks.count()
     chosen = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(1e6 * min(1.0, train_rows / max(n, 1)))
     marks = stored(marks.where(chosen))
-    train = stored(docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").where("text is not null").select("text", "toxic"))
+    train = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").where("text is not null").select("text", "toxic")
+    train = stored(folded_words(train).repartition(TRAIN_PARTS))
     lexicon = learn_lexicon(train)
     seen = stored(densities(docs.select("doc_id", "text"), lexicon, exceptions))
     bins = seen.join(F.broadcast(marks), "doc_id").groupBy(F.round(F.least(F.sqrt("density"), F.lit(2.0)) * BINS / 2).alias("bin"), "toxic").count().collect()

@@ -43,10 +43,12 @@ from notelode.llm.base import Scratch, in_parts, shared_dir, table, workers_find
 BLOCK = 128
 PERCENTILE = 90
 #: Characters of text for each task, about, and ids after which a shard is full.
-SHARD_CHARS = 8 << 20
+SHARD_CHARS = 16 << 20
 SHARD_IDS = 4 << 20
 #: Characters that a worker takes up at a time.
 PART_CHARS = 4 << 20
+#: Tasks that read shards, at most; each reads one file after another.
+READ_TASKS = 20_000
 #: Tasks whose ids are summed as one group.
 GROUP = 1024
 #: Pieces that a worker remembers.
@@ -385,7 +387,8 @@ def round_trip(docs: DataFrame, vocabulary: str, **sizes: int) -> DataFrame:
     folder = shared_dir(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     files = scratch.stored(write_shards(docs, folder, vocabulary, **sizes))  # this is the job that writes
-    return read_shards(with_base(files).repartition(F.col("file")), folder)
+    tasks = max(1, min(files.count(), READ_TASKS))
+    return read_shards(with_base(files).repartition(tasks), folder)  # a number, so tiny rows of large files are not put together
 
 
 def op6_token_blocks(spark, sf_dir) -> DataFrame:

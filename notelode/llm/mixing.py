@@ -3,7 +3,8 @@
 Every source has a weight; together the sources share ``share`` times all words, but no source takes more than ``cap``
 times its own: what is over is shared again by weight. A source first takes its complete epochs (every document once
 for each whole multiple of its size in the target). The rest of its target is drawn without replacement: a document's
-key is an exponential variate divided by its quality weight, documents are taken in ascending key order, and the prefix
+key is an exponential variate divided by its quality weight, 1 / (1 + symbols for each word, 4 at most), so a document of
+nothing but symbols still has a fifth of a clean one's weight; documents are taken in ascending key order, and the prefix
 sums of their sizes are cut at the budget, so the last document may be taken in part.
 
 The order within a source is never laid out in one task. Keys are dealt to buckets by their rank under the unit
@@ -112,7 +113,8 @@ def op7_mixing(spark, sf_dir) -> DataFrame:
 
 def mixing_stage(spark, docs, sf_dir) -> DataFrame:
     """Each document as often as the mix takes it; the part of the one at the cut is rounded to all or nothing. Documents are
-    drawn by row, by a hash of doc_id and text: doc_ids may be null or repeated."""
+    drawn by row, by a hash of doc_id and text: doc_ids may be null or repeated. Null and empty texts have no words and go.
+    Rows that repeat a doc_id and text are each kept as often. An empty table gives an empty result; extra columns are left out."""
     rows = with_row_key(docs)
     copies = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")
     taken = mix(rows.select(F.col("_id").alias("doc_id"), "text", "source")).select(F.col("doc_id").alias("_id"), copies.alias("copies")).where("copies > 0")

@@ -231,7 +231,8 @@ def op8_secret_forest(spark, sf_dir) -> DataFrame:
 
 
 def secrets_stage(spark, docs, sf_dir) -> DataFrame:
-    """The documents, with each secret replaced by a mark, by row: doc_ids may be null or repeated."""
+    """The documents, with each secret replaced by a mark, by row: doc_ids may be null or repeated. Null texts stay null; a
+    document with a secret gets a new n_chars. An empty table gives an empty result; extra columns are left out."""
     rows = with_row_key(docs)
     found = scan(rows.select(F.col("_id").alias("doc_id"), "text")).where("secret").groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_set("value"), asc=False).alias("values"))
     clean = F.aggregate("values", F.col("text"), lambda t, v: F.replace(t, v, F.lit("[SECRET]")))

@@ -49,6 +49,45 @@ def test_quality_base_counts_and_verdicts(spark):
     assert quality.judge(docs, good.limit(0)).where("kept = base_failed").count() == 0
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of strings, ints (4 bytes) and longs (8)."""
+    xxhash = pytest.importorskip("xxhash")
+    seed = 42
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else int(v[0]).to_bytes(v[1], "little", signed=True)
+        seed = xxhash.xxh64(raw, seed=seed).intdigest()
+    return seed
+
+
+def test_quality_ratios_against_brute_force(spark):
+    buckets = 64
+    texts = [prose(60 + k, k) for k in range(12)] + [prose(60, 3) + " junk$$" * 30, None, "", "one two"]
+    ids = [*range(len(texts) - 1), 3, 3]  # a doc_id of two texts, and a repeated row
+    texts = [*texts[: len(texts) - 1], texts[5], texts[5]]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    good = spark.createDataFrame([(i,) for i in range(0, 12, 2)], "doc_id long")
+
+    def grams(t):
+        w = WORD.findall(t or "")
+        return [spark_hash(x) % buckets for x in w] + [spark_hash(x, y) % buckets for x, y in zip(w, w[1:])] + [spark_hash(x[-1], (1, 4)) % buckets for x in w]
+
+    signed = lambda h: h  # pmod of a signed 64-bit number by a power of two is that of the unsigned one
+    raw, target = Counter(), Counter()
+    for i, t in zip(ids, texts, strict=True):
+        raw.update(map(signed, grams(t)))
+        if i in range(0, 12, 2):
+            target.update(grams(t))
+    n, m = sum(raw.values()), sum(target.values())
+    ratio = [round(float(np.log((target[b] + 1) / (m + buckets)) - np.log((raw[b] + 1) / (n + buckets))), 6) for b in range(buckets)]
+    assert np.allclose(quality.bucket_ratios(docs, good, buckets), ratio, atol=2e-6)
+    rows = quality.judge(docs, good, buckets).collect()
+    expect = sorted((i, round(sum(ratio[g] for g in grams(t)) / max(1, len(grams(t))), 6)) for i, t in zip(ids, texts, strict=True))
+    assert len(rows) == len(texts) and np.allclose(sorted((r.doc_id, r.llr) for r in rows), expect, atol=3e-6)
+    own = [x for i, x in expect if i in range(0, 12, 2)]
+    limit = np.mean(own) - max(quality.SIGMAS * np.std(own), quality.MARGIN)
+    assert all(abs(r.threshold - limit) < 1e-5 and r.kept == (not r.base_failed and r.llr >= r.threshold) for r in rows)
+
+
 def test_ogg_round_trip_and_damage(spark):
     rows = {r.doc_id: r for r in ogg.digests(table(spark, ODD)).collect()}
     files = {r.doc_id: r.media for r in ogg.encode(table(spark, ODD)).collect()}
@@ -133,6 +172,61 @@ def test_toxicity_learns_folds_and_excepts(spark):
     assert [toxicity.density(m, x)[1] for x in ("1d10t", "іdiоt!", "a clown fish", "clown", "stupidly", "idiots", "", None)] == [1, 1, 0, 1, 1, 0, 0, 0]
 
 
+def test_toxic_lexicon_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    bad = ["idiot", "idiotic", "m0ron", "scheiße", "bl0ckhead"]
+    texts = [(prose(40, k) + (f" {bad[rng.integers(5)]} {bad[rng.integers(5)]}" if k % 3 == 0 else "") + (" idiot" if k == 1 else ""), int(k % 3 == 0)) for k in range(240)]
+    train = toxicity.folded_words(spark.createDataFrame(texts, "text string, toxic int"))
+    got = dict(toxicity.learn_lexicon(train))
+
+    def grams(text):
+        words = set(toxicity.split_folded(toxicity.fold(text)))
+        return {w for w in words if len(w) >= 3} | {f"{w[:k]}*" for w in words for k in range(4, min(10, len(w)) + 1)}
+
+    hashes = {r.w: r.h for r in spark.createDataFrame([(w,) for w in {w for t, _ in texts for w in toxicity.split_folded(toxicity.fold(t))}], "w string").selectExpr("w", "xxhash64(w) AS h").collect()}
+    near = [min(hashes[w] for w in toxicity.split_folded(toxicity.fold(t))) for t, _ in texts]
+    n = Counter(y for _, y in texts)
+    k, c, support = Counter(), Counter(), {}
+    for (t, y), h in zip(texts, near, strict=True):
+        for g in grams(t):
+            (k if y else c)[g] += 1
+            if y:
+                support.setdefault(g, set()).add(h)
+    groups = len({h for (_, y), h in zip(texts, near, strict=True) if y})
+    weight = {g: round(float(np.log((k[g] + 0.5) / (n[1] + 1)) - np.log((c[g] + 0.5) / (n[0] + 1))), 6) for g in k if len(support[g]) >= max(3, 0.01 * groups) and k[g] >= 0.01 * n[1]}
+    expect = {}
+    for g in sorted((g for g, w in weight.items() if w >= toxicity.MIN_RATIO), key=lambda g: (len(g.rstrip("*")), g)):
+        if not any(f"{g.rstrip('*')[:m]}*" in expect for m in range(4, len(g.rstrip("*")) + 1)):
+            expect[g] = weight[g]
+    assert expect and set(got) == set(expect) and all(abs(got[g] - w) < 1e-5 for g, w in expect.items())
+
+
+def test_url_features_and_held_out_labels(spark):
+    from math import log2
+
+    made = [f"https://h{i}.{('com', 'net', 'shop', 'xyz', 'org')[i % 5]}/{'a/b' if i % 2 else 'item'}/{i}{'?id=%d&ref=x' % i if i % 3 else ''}" for i in range(200)] + ["", "no url", "ftp://x", "http://ä.de/ü?q=1#f"]
+    labels = [int(i % 5 == 3 or "?" in u and i % 7 == 0) for i, u in enumerate(made)]
+    labelled = urls.with_label(spark.createDataFrame(list(zip(made, labels, strict=True)), "url string, label int"))
+    n, k = urls.counts(labelled)
+    for most in (1000, 2):  # many frequent suffixes, or few and a merge join for the others
+        stats = urls.suffix_statistics(labelled, n, most)
+        rows = urls.lexical(labelled, stats, k / n, labelled["label"]).select("url", "label", "features").collect()
+        assert len(rows) == n
+        for r in rows:
+            u = r.url
+            m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", u)
+            host, path = (m[1].lower(), m[2]) if m else ("", "")
+            query = (re.search(r"(?s)\?([^#]*)", u) or [None, ""])[1]
+            seen = [(x, y) for x, y in zip(made, labels, strict=True) if (re.match(r"(?s)^.*?://([^/?#]*)", x) or [None, ""])[1].lower().split(".")[-1] == host.split(".")[-1]]
+            rate = (sum(y for _, y in seen) - r.label + 10 * k / n) / (len(seen) - 1 + 10)
+            bits = -sum(c / len(u) * log2(c / len(u)) for c in Counter(u).values())
+            expect = [len(u), len(host), len(path), len(query), len(re.findall("/[^/]", path)), len(host.split(".")), len(re.findall("[0-9]", u)) / max(1, len(u)), bits, len(re.findall("[^&=]+=", query)), len(re.findall("[-_%~.#@]", u)), rate, len(seen) / n]
+            assert np.allclose(r.features.toArray(), expect), u
+    figures = urls.held_out_figures(spark.createDataFrame([(u + str(j), y) for j in range(5) for u, y in zip(made, labels, strict=True)], "url string, label int"))
+    print("held-out urls:", figures)
+    assert figures["recall"] > 0.6 and figures["precision"] > 0.6
+
+
 def test_url_rules_and_trees(spark):
     cases = [
         ("https://WWW.Example.org/es/1", "www.example.org", "/es/1", "example.org/es/", "block"),
@@ -220,6 +314,26 @@ def test_mixing_targets_and_epochs(spark):
     assert sum(r.taken for r in mixing.mix(table(spark, [None, "", ""])).collect()) == 0
 
 
+def test_mixing_draws_against_brute_force(spark):
+    texts = [prose(5 + k % 9, k) + " #$ %" * (k % 4) for k in range(300)]
+    sources = ["a" if k % 3 else "b" for k in range(300)]
+    rows = {r.doc_id: r for r in mixing.mix(table(spark, texts, sources)).collect()}
+    for source in "ab":
+        own = [i for i in range(300) if sources[i] == source]
+        size = {i: len(WORD.findall(texts[i])) for i in own}
+        key = {}
+        for i in own:
+            u = ((spark_hash((17, 4), (i, 8)) >> 11) + 0.5) / 2**53
+            key[i] = -np.log(u) * (1 + min(4.0, len(re.findall(r"[#*$%&|<>]", texts[i])) / max(1, size[i])))
+        target, total = rows[own[0]].target, sum(size.values())
+        epochs = int(target // total)
+        rest = round(target - epochs * total)
+        for i in sorted(own, key=lambda i: (key[i], i, size[i])):
+            part = min(size[i], max(0, rest))
+            rest -= size[i]
+            assert rows[i].taken == epochs * size[i] + part, i
+
+
 def test_secrets(spark):
     key, hexed = "AKIA" + "SJDZWJNP6ZRYWK44", hashlib.sha1(b"x").hexdigest()
     texts = [f"{prose(30, 1)} {key} {prose(5, 2)}", f'a token = "{hexed}" b', f"z password={hexed[:18]} y", "password=changeme1 x", "card 4653732687131581 ok", "mail bgta.64@mail4.example.com", "commit " + hexed + " done", *ODD]
@@ -286,6 +400,9 @@ def test_pieces_are_lossless_and_reproducible(spark):
     assert sp.decode(list(rows[5].ids)) == ODD[5]
     assert pieces.encode(table(spark, EMPTY), model).count() == 0
     assert {r.n_ids for r in pieces.encode(table(spark, ["", None]), model, digest=True).collect()} == {0}
+    clash = table(spark, ["a b"]).selectExpr("*", "'x' AS ids", "1 AS lossless", "2 AS decoded")
+    r = pieces.decode(pieces.encode(clash, model), model).first()
+    assert (r.lossless, r.decoded) == (True, "a b") and len(r.ids) >= 2
 
 
 def test_piece_sampling_follows_the_lattice():

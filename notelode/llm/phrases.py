@@ -35,7 +35,7 @@ from notelode.llm.wordhash import mixed, powers, run_hashes, word_hashes
 WIDTH = 50
 ANCHOR = 8
 #: Documents of a shard, about.
-SHARD_DOCS = 1000
+SHARD_DOCS = 300
 _SECOND = np.uint64(0xA0761D6478BD642F)
 
 

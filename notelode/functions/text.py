@@ -44,8 +44,9 @@ def normalize_body(c) -> Column:
 
 
 def shingles(c, k: int = 5) -> Column:
-    """The different runs of k characters."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c) - (k - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(k))))
+    """The different runs of k characters, by a look-ahead at each place; a shorter text is one run."""
+    runs = F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)))
+    return F.when(F.char_length(c) < k, F.array(c)).otherwise(runs)
 
 
 def jaccard(a, b) -> Column:

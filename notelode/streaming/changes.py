@@ -38,17 +38,38 @@ def once(changes: DataFrame, late: str = "1 day") -> DataFrame:
     return changes.dropDuplicates(["event_id"])
 
 
-def merge_into(folder: str, key: str = "event_id"):
-    """A foreachBatch function that keeps the last version of each key in versioned snapshots below folder."""
+BUCKETS = 64
+
+
+def latest(spark: SparkSession, folder: str, below: int | None = None) -> DataFrame | None:
+    """The rows that merges into folder have kept so far (before batch ``below``): of each bucket the newest version."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in store.listStatus(hadoop)] if store.exists(hadoop) else []
+    versions = [n for n in names if n.startswith("v=") and (below is None or int(n[2:]) < below)]
+    if not versions:
+        return None
+    rows = spark.read.option("basePath", folder).parquet(*[f"{folder}/{n}" for n in versions])
+    newest = rows.groupBy("bucket").agg(F.max("v").alias("v"))  # folders alone tell; BUCKETS rows at most
+    return rows.join(F.broadcast(newest), ["bucket", "v"]).drop("v")
+
+
+def merge_into(folder: str, key: str = "event_id", order: str = "ts"):
+    """A foreachBatch function that keeps the last version of each key, by ``order``, in snapshots below folder.
+
+    Keys are dealt to BUCKETS; a batch writes only the buckets that it touches, as version ``number``, from the newest
+    versions below it. So the same batch delivered again gives the same files, and numbers may have gaps.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        last = f"{folder}/v={number - 1}"
-        new = batch.dropDuplicates([key])
-        if number:
-            old = spark.read.parquet(last)
-            new = old.join(new, key, "left_anti").unionByName(new)
-        new.write.mode("overwrite").parquet(f"{folder}/v={number}")  # the same batch again gives the same snapshot
+        new = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+        old = latest(spark, folder, number)
+        if old is not None:
+            new = old.join(new.select("bucket").distinct(), "bucket", "left_semi").unionByName(new)
+        columns = [c for c in new.columns if c not in (key, "bucket")]
+        last = new.groupBy(key, "bucket").agg(F.max_by(F.struct(*columns), F.struct(order, F.xxhash64(*columns))).alias("r"))
+        last.select(key, "r.*", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/v={number}")
 
     return merge
 

@@ -14,8 +14,17 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 HEADLINES = (
     "top_objects", "object_counts", "claim_snapshot", "latest_verdicts", "weighted_cooccurrence", "semantic_shares", "claim_conflicts", "repeated_short_lines",
     "change_counts", "change_bursts", "latest_order", "brand_revenue", "word_counts", "page_text", "chunks", "bm25_top10", "global_idf", "dense_top6",
-    "link_dedup", "manifest_diff", "protected_upsert", "topic_fit", "note_groups",
+    "link_dedup", "manifest_diff", "protected_upsert", "topic_fit", "note_groups", "hybrid_top10", "inverted_index", "relation_edges", "polarity_conflicts",
+    "pending_inbox", "replaced_documents", "verified_quotes",
 )
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+def laid_out(spark, sf_dir: str, folder: str, parts: int) -> str:
+    """The tables again, in files of about equal size: as given each is one row group, which one core reads alone."""
+    for name in TABLES:
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").repartition(parts).write.parquet(f"{folder}/{name}.parquet")
+    return folder
 
 
 def main() -> None:
@@ -36,15 +45,18 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     queries, seconds = all_queries(), {}
+    began = time.perf_counter()
+    tables = laid_out(spark, sf_dir, f"{scratch}/tables", int(cpus))
+    layout = round(time.perf_counter() - began, 3)  # once, and part of the total
     for name in HEADLINES:
         best = float("inf")
         for _ in range(2):  # the second run is warm
             began = time.perf_counter()
-            queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            queries[name](spark, tables).write.format("noop").mode("overwrite").save()
             best = min(best, time.perf_counter() - began)
         seconds[name] = round(best, 3)
     spark.stop()
-    print(json.dumps({"metric": "total_warm_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": sf_dir.rsplit("sf", 1)[-1]}))
+    print(json.dumps({"metric": "total_warm_seconds", "value": round(layout + sum(seconds.values()), 3), "unit": "sec", "layout_sec": layout, "queries": seconds, "sf": sf_dir.rsplit("sf", 1)[-1]}))
 
 
 if __name__ == "__main__":

@@ -158,7 +158,7 @@ def raw_names(spark, sf_dir) -> DataFrame:
 #: Rules in order, and what they match; the first that does names the reason.
 NOISE = (
     ("too short", r"^.?$"), ("outer space", r"^\s|\s$"), ("hangs over", r"[._-]$"), ("hidden file", r"^\.[a-z]"), ("flag", r"^[_-]"), ("reference", r"^@"),
-    ("setting", r"^[A-Z]+(?:_[A-Z0-9]+)+$"), ("status code", r"^[1-5][0-9]{2} \p{L}"), ("quantity", r"^[0-9]+(?:\.[0-9]+)?(?:[KMG]B?\b|\s*[份个元美项]|[×x][0-9])"), ("citation", r"et al\.|\([12][0-9]{3}\)"),
+    ("setting", r"^[A-Z]+(?:_[A-Z0-9]+)+$"), ("quantity", r"^[0-9]+(?:\.[0-9]+)?(?:[KMG]B?\b|\s*[份个元美项]|[×x][0-9])"), ("status code", r"^[1-5][0-9]{2} \p{L}"), ("citation", r"et al\.|\([12][0-9]{3}\)"),
     ("file", r"(?i)\.(?:md|txt|pdf|docx?|pptx?|html?|json|ya?ml|py|js|ts|csv)$"), ("version", r"^v?[0-9]+(?:\.[0-9]+)+$"), ("heading", r"^[0-9]{1,2}[_.-]\S"), ("several", r"[/、]"),
     ("host", r"^(?:[a-z0-9-]+\.)+(?:com|org|net|io|cn|dev|ai)$"), ("leading digits", r"^[0-9]"), ("title", r"报告|指南|路线图|白皮书|合集|面试题|入门教程|官方文档"), ("no letters", r"^[^\p{L}]*$"),
 )

@@ -127,7 +127,8 @@ def learn_lexicon(train: DataFrame, min_share: float = MIN_SHARE, min_ratio: flo
     if not n_toxic or not n_clean:
         return []
     near = F.array_min(F.transform("w", lambda x: F.xxhash64(x)))
-    toxic = train.where("toxic = 1").select(near.alias("near"), F.explode(with_stems("w")).alias("word"))
+    toxic = train.where("toxic = 1").select(near.alias("near"), with_stems("w").alias("w"))  # once a text, before its words are rows
+    toxic = toxic.select("near", F.explode("w").alias("word"))
     groups = train.where("toxic = 1").select(near.alias("near")).distinct().count()
     words = toxic.groupBy("word").agg(F.count("*").alias("k"), F.approx_count_distinct("near", 0.02).alias("support"))
     words = stored(words.where((F.col("support") >= max(MIN_SUPPORT, min_share * groups)) & (F.col("k") >= min_share * n_toxic)).select("word", "k"))

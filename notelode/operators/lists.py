@@ -334,3 +334,12 @@ def page_headers(spark, sf_dir) -> DataFrame:
     found = p.select("doc", F.explode(lines).alias("line")).where(F.char_length("line").between(5, 200)).groupBy("doc", "line").agg(F.count("*").alias("pages"))
     n = p.groupBy("doc").agg(F.count("*").alias("n")).where("n >= 3")
     return found.join(n, "doc").where("pages = n").select("doc", "line", "pages")
+
+
+@query(_HEAD + ", h1 AS (SELECT *, count(*) FILTER (WHERE level = 1) OVER (PARTITION BY doc_id ORDER BY ordinal ROWS UNBOUNDED PRECEDING) AS section FROM hd) SELECT doc_id, ordinal, section, row_number() OVER (PARTITION BY doc_id, section ORDER BY ordinal) AS number FROM h1 WHERE level = 0")
+def renumbered_items(spark, sf_dir) -> DataFrame:
+    """Blocks numbered anew within each section of a document."""
+    n = F.char_length("content")
+    w = Window.partitionBy("doc_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
+    b = blocks(spark, sf_dir).select("doc_id", "ordinal", n.alias("n"), F.sum((n < 20).cast("long")).over(w).alias("section")).where("n >= 35")
+    return b.select("doc_id", "ordinal", "section", F.row_number().over(Window.partitionBy("doc_id", "section").orderBy("ordinal")).alias("number"))

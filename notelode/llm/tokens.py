@@ -30,6 +30,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -51,7 +52,7 @@ PART_CHARS = 4 << 20
 READ_TASKS = 20_000
 #: Tasks whose ids are summed as one group.
 GROUP = 1024
-#: Pieces that a worker remembers.
+#: Pieces that a worker remembers, about: those met lately, and half as many met before.
 MEMORY = 1_000_000
 NULL_ID = -(1 << 63)
 MAGIC = b"PFOR"
@@ -177,6 +178,30 @@ _SOLID[128:] = True
 _FACTOR = 0x9E3779B97F4A7C15
 
 
+class Met:
+    """Pieces and their ids, one after the other."""
+
+    def __init__(self):
+        self.place: dict[bytes, int] = {}
+        self.begin, self.count, self.ids = array("q"), array("q"), array("I")
+
+    def keep(self, names: list[bytes], ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The places of new pieces."""
+        first = len(self.begin)
+        self.begin.frombytes((len(self.ids) + np.cumsum(counts) - counts).astype(np.int64).tobytes())
+        self.count.frombytes(counts.astype(np.int64).tobytes())
+        self.ids.frombytes(ids.astype(np.uint32).tobytes())
+        self.place.update(zip(names, range(first, first + len(names)), strict=True))
+        return np.arange(first, first + len(names))
+
+    def ids_of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces at places, one after the other, and their numbers."""
+        begin, count, ids = (np.frombuffer(x, t) if len(x) else np.zeros(0, t) for x, t in ((self.begin, np.int64), (self.count, np.int64), (self.ids, np.uint32)))
+        n = count[places]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return ids[np.repeat(begin[places], n) + step], n
+
+
 class Pieces:
     """The library's tokenizer and the pieces met so far, once for each Python worker."""
 
@@ -188,11 +213,7 @@ class Pieces:
         size = self.of.get_vocab_size()
         self.n_bytes = np.array([len(self.of.id_to_token(i) or "") for i in range(size)], np.int64)
         self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
-        self.clear()
-
-    def clear(self) -> None:
-        self.met: dict[bytes, int] = {}
-        self.begin, self.count, self.ids = array("q"), array("q"), array("I")
+        self.now, self.before = Met(), Met()
 
     def powers(self, n: int) -> None:
         """Powers of an odd factor and of its inverse, modulo 2 ** 64, for n bytes at least."""
@@ -203,31 +224,46 @@ class Pieces:
             np.multiply.accumulate(self.up, out=self.up)
             np.multiply.accumulate(self.down, out=self.down)
 
-    def learn(self, new: list[str]) -> np.ndarray:
-        """Keep the ids of new pieces; returns where. Many go to the library as one text: it cuts them apart again where
-        they were joined."""
-        where = np.full(len(new), -1, np.int64)
-        plain = [i for i, x in enumerate(new) if x[0] == " " and len(x) > 1 and not x[1].isspace() and not x[-1].isspace()]
-        for at in range(0, len(plain), 4000):
-            part = plain[at : at + 4000]
-            ids = np.array(self.of.encode_batch_fast(["".join([new[i] for i in part])], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.cumsum([len(new[i].encode()) for i in part])
+    def learn(self, names: list[bytes], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An order of new pieces, their ids one after the other in that order, and their numbers. Many plain ones (a space before, none at the end) go to the library as one
+        text: it cuts them apart again where they were joined."""
+        order, parts, counts, rest = [], [], [], np.flatnonzero(~plain).tolist()
+        where = np.flatnonzero(plain)
+        for at in range(0, len(where), 4000):
+            own = where[at : at + 4000].tolist()
+            joined = b"".join([names[i] for i in own]).decode("utf-8", "surrogatepass")
+            ids = np.array(self.of.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.cumsum([len(names[i]) for i in own])
             reached = np.cumsum(self.n_bytes[ids])
             cut = np.searchsorted(reached, ends) + 1
             if reached[-1] == ends[-1] and (reached[cut - 1] == ends).all():
-                where[part] = self.keep(ids, np.diff(cut, prepend=0))
-        rest = np.flatnonzero(where < 0).tolist()
+                order.append(own)
+                parts.append(ids)
+                counts.append(np.diff(cut, prepend=0))
+            else:
+                rest += own
         if rest:
-            got = [e.ids for e in self.of.encode_batch_fast([new[i] for i in rest], add_special_tokens=False)]
-            where[rest] = self.keep(np.array([x for ids in got for x in ids], np.uint32), np.array(list(map(len, got)), np.int64))
-        return where
-
-    def keep(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        first = len(self.begin)
-        self.begin.frombytes((len(self.ids) + np.cumsum(counts) - counts).astype(np.int64).tobytes())
-        self.count.frombytes(counts.astype(np.int64).tobytes())
-        self.ids.frombytes(ids.tobytes())
-        return np.arange(first, first + len(counts))
+            got = [e.ids for e in self.of.encode_batch_fast([names[i].decode("utf-8", "surrogatepass") for i in rest], add_special_tokens=False)]
+            order.append(rest)
+            parts.append(np.array([x for ids in got for x in ids], np.uint32))
+            counts.append(np.array(list(map(len, got)), np.int64))
+        return np.concatenate(order).astype(np.int64), np.concatenate(parts), np.concatenate(counts)
+
+    def places(self, names: list[bytes], plain: np.ndarray) -> np.ndarray:
+        """The places of pieces among those met lately; pieces met before are taken over, others learned."""
+        if len(self.now.place) > MEMORY // 2:
+            self.now, self.before = Met(), self.now
+        known = np.fromiter(map(self.now.place.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            old = np.fromiter(map(self.before.place.get, [names[i] for i in new.tolist()], repeat(-1)), np.int64, len(new))
+            again, new = new[old >= 0], new[old < 0]
+            if len(again):
+                known[again] = self.now.keep([names[i] for i in again.tolist()], *self.before.ids_of(old[old >= 0]))
+            if len(new):
+                order, ids, counts = self.learn([names[i] for i in new.tolist()], plain[new])
+                known[new[order]] = self.now.keep([names[i] for i in new[order].tolist()], ids, counts)
+        return known
 
     @staticmethod
     def equal(keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -272,25 +308,20 @@ class Pieces:
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * self.up[:n])))
         keys = (sums[ends] - sums[starts]) * self.down[starts] ^ ((ends - starts).astype(np.uint64) << np.uint64(56))
         first, of = self.equal(keys, data, starts, ends)
-        if len(self.met) + len(first) > MEMORY:
-            self.clear()
         names = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        get = self.met.get
-        known = [get(x, -1) for x in names]
-        new = [i for i, x in enumerate(known) if x < 0]
-        if new:
-            where = self.learn([names[i].decode("utf-8", "surrogatepass") for i in new]).tolist()
-            for i, k in zip(new, where, strict=True):
-                known[i] = self.met[names[i]] = k
-        piece = np.array(known, np.int64)[of]
-        count = np.array(self.count, np.int64)[piece]
+        # pieces that begin at a cut and end before one, not with a text, have neither white space after their own nor at the end
+        cut = np.zeros(n + 1, bool)
+        cut[at] = True
+        plain = (cut[starts] & cut[ends])[first]
+        piece = self.places(names, plain)[of]
+        ids, count = self.now.ids_of(piece)
         # ids go behind those of the pieces before, with one place left for the end id of each text before
         text = np.searchsorted(firsts[1:], starts, side="right")
         target = np.cumsum(count) - count + text
         total = np.bincount(text, weights=count, minlength=len(texts)).astype(np.int64) + 1
         out = np.full(total.sum(), end_id, np.uint32)
         step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        out[np.repeat(target, count) + step] = np.array(self.ids, np.uint32)[np.repeat(np.array(self.begin, np.int64)[piece], count) + step]
+        out[np.repeat(target, count) + step] = ids
         return out, total
 
 

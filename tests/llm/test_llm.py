@@ -266,6 +266,20 @@ def test_token_blocks_equal_the_library(spark):
     assert [a for a, _ in small] == np.cumsum([0, *[n for _, n in small][:-1]]).tolist() and sorted(n for _, n in small) == sorted(r.n_tokens for r in rows)
 
 
+def test_forgotten_pieces_are_learned_again(monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "MEMORY", 40)
+    path = public.path("byte_bpe_50k.json")
+    tok, own = Tokenizer.from_file(path), tokens.Pieces(path)
+    for k in range(8):
+        texts = [prose(60, k % 3), f" edge {k} ", prose(5, k) + "\u00a0x  y\n z", ""]
+        ids, counts = own.encode(texts, 0)
+        expect = [[*tok.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+        assert ids.tolist() == [x for e in expect for x in e] and counts.tolist() == list(map(len, expect))
+
+
 def test_pieces_of_one_hash_are_told_apart_by_bytes():
     data = np.frombuffer(b" ab cd ab c  ab", np.uint8)
     starts, ends = np.array([0, 3, 6, 9, 12]), np.array([3, 6, 9, 12, 15])

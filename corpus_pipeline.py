@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from notelode.llm import mixing, neardup, pieces, quality, secrets
-from notelode.llm.base import stored
+from notelode.llm.base import Scratch
 
 #: (name, function of (spark, docs, sf_dir)); all but the last give the columns of documents.
 STAGES = [
@@ -21,7 +21,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        read, docs = docs, scratch.stored(stage(spark, docs, sf_dir))
+        scratch.drop(read)  # if it is one of these tables
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -583,6 +583,70 @@ def test_icws_agrees_as_weighted_jaccard():
     assert abs((keys[0] == keys[1]).mean() - sim) < 0.04
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """All five stages in a row over documents with nulls, repeats, copies, near copies, secrets, short texts and extra columns."""
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline
+
+    secret = "AKIA" + "SJDZWJNP6ZRYWK44"
+    one = prose(90, 700).split()
+    texts = [prose(60 + k, 800 + k) for k in range(24)] + [prose(30, 1), None, "", prose(80, 801 + 20), f"{prose(70, 900)} {secret} {prose(9, 901)}", " ".join(one), " ".join([*one[:50], "other", *one[51:]]), "a b c " * 40]
+    ids = [*range(22), None, None, *range(100, 107), 3]
+    rows = [(i, t, None, (None, "a", "b")[k % 3], None, "x", 1) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    rows += [rows[4], rows[4]]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    def base_failed(t):
+        w = WORD.findall(t or "")
+        seen = Counter(zip(w, w[1:], w[2:]))
+        covered = {j + d for j, x in enumerate(zip(w, w[1:], w[2:])) if seen[x] > 1 for d in range(3)}
+        return len(w) < 50 or 100 * len(covered) > 50 * len(w)
+
+    kept = [(r[0], r[1], r[3]) for r in rows if not base_failed(r[1])]
+    links = exact_classes([t for _, t, _ in kept])
+    classes = list(range(len(kept)))
+    for _ in kept:  # labels spread over links and copies
+        for i, j in [*links, *((i, j) for j in range(len(kept)) for i in range(j) if kept[i][1] == kept[j][1])]:
+            classes[i] = classes[j] = min(classes[i], classes[j])
+    best = {}
+    for k, (c, (i, t, s)) in enumerate(zip(classes, kept, strict=True)):
+        order = (i is None, -1 if i is None else i, hashlib.md5(t.encode()).digest())
+        if c not in best or order < best[c][0]:
+            best[c] = order, k
+    docs = [(kept[k][0], kept[k][1].replace(secret, "[SECRET]"), kept[k][2]) for _, k in best.values()]
+    size = {x: len(WORD.findall(x[1])) for x in docs}
+    total = {s: sum(size[x] for x in docs if x[2] == s) for s in {x[2] for x in docs}}
+    order = sorted(total, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    budget, free, fixed = 1.5 * sum(total.values()), set(order), {}
+    while over := [s for s in free if (budget - sum(fixed.values())) * weight[s] / sum(weight[x] for x in free) > 2 * total[s]]:
+        for s in over:
+            free.discard(s)
+            fixed[s] = 2 * total[s]
+    target = fixed | {s: (budget - sum(fixed.values())) * weight[s] / sum(weight[x] for x in free) for s in free}
+    expect = Counter()
+    for s in order:
+        own, key = [x for x in docs if x[2] == s], {}
+        for x in own:
+            h = spark_hash(*([] if x[0] is None else [(x[0], 8)]), x[1])
+            u = ((spark_hash((17, 4), (h - (1 << 64) if h >> 63 else h, 8)) >> 11) + 0.5) / 2**53
+            key[x] = -np.log(u) * (1 + min(4.0, len(re.findall(r"[#*$%&|<>]", x[1])) / size[x]))
+        epochs = int(target[s] // total[s])
+        rest = round(target[s] - epochs * total[s])
+        for x in sorted(own, key=key.get):
+            part = min(size[x], max(0, rest))
+            rest -= size[x]
+            expect[x] += int((epochs * size[x] + part) / size[x] + 0.5)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in got) == +expect and all(r.lossless and len(r.ids) > 0 for r in got)
+    assert any("[SECRET]" in r.text for r in got) and not any(secret in r.text for r in got)
+    empty = tmp_path / "empty"
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{empty}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
 def test_registered_queries_and_stages():
     import __spark_entry__ as entry
     import corpus_pipeline

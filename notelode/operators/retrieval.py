@@ -105,6 +105,7 @@ def mmr(hits: DataFrame, k: int = 5, balance: float = 0.5) -> DataFrame:
     def run(key, b):
         import numpy as np
 
+        b = b.sort_values("vec_id")  # ties go to the smaller id
         left = np.stack([np.asarray(x, np.float64) for x in b["embedding"]])
         sims, score = left @ left.T, b["score"].to_numpy()
         chosen: list[int] = []
@@ -119,7 +120,7 @@ def mmr(hits: DataFrame, k: int = 5, balance: float = 0.5) -> DataFrame:
     return hits.groupBy("query_id").applyInPandas(run, "query_id long, vec_id long, score double, rank int")
 
 
-@query()
+@query("WITH RECURSIVE q AS (SELECT vec_id AS query_id, embedding::double[] AS qe FROM embeddings WHERE vec_id % 100 = 0), d AS (SELECT query_id, vec_id, round(s, 4) AS score FROM (SELECT query_id, vec_id, list_dot_product(qe, embedding::double[]) AS s FROM q, embeddings WHERE vec_id <> query_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 4) DESC, vec_id) <= 6), p AS (SELECT a.query_id, a.vec_id AS x, b.vec_id AS y, list_dot_product(ea.embedding::double[], eb.embedding::double[]) AS s FROM d a JOIN d b USING (query_id) JOIN embeddings ea ON ea.vec_id = a.vec_id JOIN embeddings eb ON eb.vec_id = b.vec_id WHERE a.vec_id <> b.vec_id), r AS (SELECT query_id, [arg_min(vec_id, struct_pack(s := -score, v := vec_id))] AS chosen, 1 AS step FROM d GROUP BY query_id UNION ALL SELECT query_id, list_append(chosen, arg_min(vec_id, struct_pack(s := -value, v := vec_id))), step + 1 FROM (SELECT r.query_id, r.chosen, r.step, d.vec_id, 0.5 * any_value(d.score) - 0.5 * max(p.s) AS value FROM r JOIN d ON d.query_id = r.query_id AND NOT list_contains(r.chosen, d.vec_id) JOIN p ON p.query_id = r.query_id AND p.x = d.vec_id AND list_contains(r.chosen, p.y) WHERE r.step < 5 GROUP BY r.query_id, r.chosen, r.step, d.vec_id) GROUP BY query_id, chosen, step) SELECT query_id, vec_id, score, rank::int AS rank FROM (SELECT query_id, unnest(chosen) AS vec_id, generate_subscripts(chosen, 1) AS rank FROM r WHERE step = 5) JOIN d USING (query_id, vec_id)")
 def mmr_top5(spark, sf_dir) -> DataFrame:
     """Of the six nearest vectors five, in the order of maximal marginal relevance."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")

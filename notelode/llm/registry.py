@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from notelode.llm import mixing, neardup, ogg, phrases, pieces, quality, secrets, tokens, toxicity, urls
+from notelode.llm import importance, mixing, neardup, ogg, phrases, pieces, postings, quality, secrets, tokens, toxicity, urls, yinyang
 
 
 def queries() -> dict:
@@ -18,9 +18,12 @@ def queries() -> dict:
         "op8_secret_forest": secrets.op8_secret_forest,
         "op9_sentencepiece": pieces.op9_sentencepiece,
         "op10_minhash_icws": neardup.op10_minhash_icws,
+        "op11_posting_lists": postings.op11_posting_lists,
+        "op12_yinyang": yinyang.op12_yinyang,
+        "op13_importance_tries": importance.op13_importance_tries,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op12_yinyang": yinyang.SQL, "op13_importance_tries": importance.SQL}

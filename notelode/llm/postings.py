@@ -1,13 +1,15 @@
 """Approximate nearest neighbours by inner product over balanced posting lists.
 
 Fit: a sample of about ``sample`` vectors is halved again and again by 2-means whose smaller side has a third at least, so
-lists come out balanced; their means are the centroids (at most 3 * sample / leaf), and each is linked to its nearest ones.
-Inner products become distances by one more component, sqrt(M^2 - |v|^2), with M the largest norm, and queries scaled to M.
-
-Index: every vector goes to its nearest centroid's list, and, if it lies at a boundary (another centroid at most ``REPLICA``
-times as far, and nearer to it than to the lists it has), to that list too. Search: the graph of centroids is walked in
-memory from a few entries; a list is read if its centroid is at most ``ratio`` times as far as the nearest one. The ratio
-is learned on the sample: with it, lists hold the share ``recall`` of true neighbours of sampled queries. There is no cap on
+lists come out balanced; their means are the centroids (at most 3 * sample / leaf: raise the sample with the table), and each is
+linked to its nearest ones. Vectors are divided by the largest norm, and inner products become distances by one more
+component, sqrt(1 - |v|^2), with queries scaled to 1.
+
+Index: every vector goes to its nearest centroid's list, and, if it lies at a boundary (another centroid is at most ``REPLICA``
+times as far, and ``APART`` from the lists it has), to that list too. Search: the graph of centroids is walked in
+memory from a few entries; a list is read if its centroid is at most ``ratio`` times as far as the nearest one (which counts
+as far as that of a median query at least, or a query within a knot of near copies would see the knot alone). The ratio is
+learned on the sample: with it, lists hold the share ``recall`` of true neighbours of sampled queries. There is no cap on
 lists or candidates; lists with few vectors are added until k + 1 vectors are there.
 
 Tasks hold a part of neighbouring lists (``PART`` vectors, about) and a block of the queries that want them (``BLOCK``, about),
@@ -33,9 +35,11 @@ from pyspark.sql.window import Window
 from notelode.llm.base import Scratch, table, workers_find_package
 
 #: Vectors that are fitted, about; vectors of the sample a list, at most; queries that learn the ratio.
-SAMPLE, LEAF, LEARN = 65_536, 48, 256
+SAMPLE, LEAF, LEARN = 16_384, 48, 256
 #: Share of true neighbours whose lists are read; how much further a replica's centroid may be; how far the walk looks.
-RECALL, REPLICA, WALK = 0.97, 1.05, 1.15
+RECALL, REPLICA, WALK = 0.97, 1.03, 1.08
+#: Another list is of use if its centroid is that far from those of the lists a vector has, as a share of its distance.
+APART = 0.6
 LINKS, ENTRIES = 24, 32
 #: Vectors and queries a task, about.
 PART, BLOCK = 4096, 2048
@@ -75,7 +79,7 @@ class Lists:
     """The centroids, the graph that links them, and how far a query looks."""
 
     def __init__(self, sample: np.ndarray, norm: float, leaf: int = LEAF):
-        self.norm, self.ratio = norm, 1.0
+        self.norm, self.ratio, self.least = norm, 1.0, 0.0
         points = self.raised(sample)
         self.centroids = np.stack([points[own].mean(0) for own in halved(points, leaf)])
         n = len(self.centroids)
@@ -83,6 +87,7 @@ class Lists:
         for k in range(n):
             self.graph[k] = self.linked(k, self.graph.shape[1])
         self.entries = np.linspace(0, n - 1, min(n, ENTRIES)).astype(np.int64)
+        self.short, self.squares = self.centroids.astype(np.float32), (self.centroids**2).sum(1)
 
     def linked(self, k: int, links: int) -> list[int]:
         """Neighbours of a centroid: half of them in different directions (none is nearer to one before it), then the nearest."""
@@ -99,29 +104,32 @@ class Lists:
         return np.maximum(0.0, (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T)
 
     def raised(self, v: np.ndarray) -> np.ndarray:
-        """Vectors with the component that makes all norms equal."""
-        return np.hstack([v, np.sqrt(np.maximum(0.0, self.norm**2 - (v * v).sum(1)))[:, None]])
+        """Vectors, scaled, with the component that makes all norms 1."""
+        v = v / self.norm
+        return np.hstack([v, np.sqrt(np.maximum(0.0, 1 - (v * v).sum(1)))[:, None]])
 
     def asked(self, q: np.ndarray) -> np.ndarray:
-        """Queries, scaled to the largest norm, in the space of raised vectors."""
-        return np.hstack([q * (self.norm / np.maximum(np.sqrt((q * q).sum(1)), 1e-300))[:, None], np.zeros((len(q), 1))])
+        """Queries, scaled to 1, in the space of raised vectors."""
+        return np.hstack([q / np.maximum(np.sqrt((q * q).sum(1)), 1e-300)[:, None], np.zeros((len(q), 1))])
 
-    def walk(self, points: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    def walk(self, points: np.ndarray, ratio: float, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """Distances of points to the centroids that the walk meets (others: infinite), and each one's limit."""
-        n, c, deg = len(points), len(self.centroids), self.graph.shape[1]
+        n, c = len(points), len(self.centroids)
+        short, squares = points.astype(np.float32), (points * points).sum(1)
         dist, done = np.full((n, c), np.inf), np.zeros((n, c), bool)
         dist[:, self.entries] = np.sqrt(self.apart(points, self.centroids[self.entries]))
         while True:
-            best = dist.min(1)
-            row, node = np.nonzero((dist <= (max(ratio, WALK) * best)[:, None]) & ~done)
+            limit = ratio * np.maximum(least, best := dist.min(1))
+            row, node = np.nonzero((dist <= np.maximum(limit, WALK * best)[:, None]) & ~done)
             if not len(row):
-                return dist, ratio * best
+                return dist, limit
             done[row, node] = True
-            pair = np.repeat(row, deg) * c + self.graph[node].ravel()
-            pair = np.unique(pair[np.isinf(dist.ravel()[pair])])
-            for k in range(0, len(pair), 1 << 15):
-                r, g = np.divmod(pair[k : k + (1 << 15)], c)
-                dist[r, g] = np.sqrt(((points[r] - self.centroids[g]) ** 2).sum(1))
+            met = np.zeros((n, c), bool)
+            met[row[:, None], self.graph[node]] = True
+            row, node = np.nonzero(met & np.isinf(dist))
+            for k in range(0, len(row), 1 << 15):
+                r, g = row[k : k + (1 << 15)], node[k : k + (1 << 15)]
+                dist[r, g] = np.sqrt(np.maximum(0.0, squares[r] + self.squares[g] - 2 * np.einsum("ij,ij->i", short[r], self.short[g])))
 
     def homes(self, v: np.ndarray) -> list[list[int]]:
         """The lists of each vector, its nearest first."""
@@ -132,8 +140,8 @@ class Lists:
                 near = np.flatnonzero(row <= most)
                 near = near[np.argsort(row[near], kind="stable")]
                 own = [int(near[0])]
-                for c in near[1:].tolist():  # a boundary: no list it has is nearer to that centroid than it is
-                    if all(((self.centroids[c] - self.centroids[x]) ** 2).sum() > row[c] ** 2 for x in own):
+                for c in near[1:].tolist():  # a boundary, in another direction than the lists it has
+                    if all(((self.centroids[c] - self.centroids[x]) ** 2).sum() > (APART * row[c]) ** 2 for x in own):
                         own.append(c)
                 out.append(own)
         return out
@@ -143,20 +151,20 @@ class Lists:
         step = max(1, len(sample) // LEARN)
         own = np.arange(0, len(sample), step)
         far = np.sqrt(self.apart(self.asked(sample[own]), self.centroids))
-        need = [np.ones(1)]
+        self.least, need = float(np.median(far.min(1))), [np.ones(1)]
         sims = sample[own] @ sample.T
         sims[np.arange(len(own)), own] = -np.inf
         top = np.argpartition(-sims, min(k, len(sample) - 1), axis=1)[:, :k]
         homes = dict(zip(flat := np.unique(top).tolist(), self.homes(sample[flat]), strict=True))
         for row, near in zip(far, top, strict=True):
-            need.append(np.array([row[homes[x]].min() for x in near.tolist()]) / max(row.min(), 1e-300))
+            need.append(np.array([row[homes[x]].min() for x in near.tolist()]) / max(row.min(), self.least, 1e-300))
         self.ratio = float(np.quantile(np.concatenate(need), recall)) * 1.005 + 1e-9
 
     def wanted(self, q: np.ndarray, counts: np.ndarray, least: int) -> list[np.ndarray]:
         """The lists that each query reads; counts: vectors that each list has as the nearest."""
         points, out = self.asked(q), []
         for k in range(0, len(q), 256):
-            dist, limit = self.walk(points[k : k + 256], self.ratio)
+            dist, limit = self.walk(points[k : k + 256], self.ratio, self.least)
             for point, row, most in zip(points[k : k + 256], dist, limit, strict=True):
                 own = np.flatnonzero(row <= most)
                 if counts[own].sum() < least:

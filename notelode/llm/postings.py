@@ -10,7 +10,8 @@ times as far, and ``APART`` from the lists it has), to that list too. Search: th
 memory from a few entries; a list is read if its centroid is at most ``ratio`` times as far as the nearest one (which counts
 as far as that of a median query at least, or a query within a knot of near copies would see the knot alone). The ratio is
 learned on the sample: with it, lists hold the share ``recall`` of true neighbours of sampled queries. There is no cap on
-lists or candidates; lists with few vectors are added until k + 1 vectors are there.
+lists or candidates; a query also reads the list of its own vector,
+where its copies are, and further lists until k + 1 vectors are there.
 
 Tasks hold a part of neighbouring lists (``PART`` vectors, about) and a block of the queries that want them (``BLOCK``, about),
 however large a list or its demand. Equal vectors are one, with its k + 1 smallest vec_ids: no more can be in a result, as ties
@@ -129,7 +130,10 @@ class Lists:
             row, node = np.nonzero(met & np.isinf(dist))
             for k in range(0, len(row), 1 << 15):
                 r, g = row[k : k + (1 << 15)], node[k : k + (1 << 15)]
-                dist[r, g] = np.sqrt(np.maximum(0.0, squares[r] + self.squares[g] - 2 * np.einsum("ij,ij->i", short[r], self.short[g])))
+                far = squares[r] + self.squares[g] - 2 * np.einsum("ij,ij->i", short[r], self.short[g])
+                close = np.flatnonzero(far < 1e-2)  # too near for single precision
+                far[close] = ((points[r[close]] - self.centroids[g[close]]) ** 2).sum(1)
+                dist[r, g] = np.sqrt(far)
 
     def homes(self, v: np.ndarray) -> list[list[int]]:
         """The lists of each vector, its nearest first."""
@@ -161,12 +165,13 @@ class Lists:
         self.ratio = float(np.quantile(np.concatenate(need), recall)) * 1.005 + 1e-9
 
     def wanted(self, q: np.ndarray, counts: np.ndarray, least: int) -> list[np.ndarray]:
-        """The lists that each query reads; counts: vectors that each list has as the nearest."""
-        points, out = self.asked(q), []
+        """The lists that each query reads, its own vector's first list among them: copies of it are there. counts: vectors that
+        each list has as the nearest."""
+        points, out, homes = self.asked(q), [], self.homes(q)
         for k in range(0, len(q), 256):
             dist, limit = self.walk(points[k : k + 256], self.ratio, self.least)
-            for point, row, most in zip(points[k : k + 256], dist, limit, strict=True):
-                own = np.flatnonzero(row <= most)
+            for point, row, most, home in zip(points[k : k + 256], dist, limit, homes[k : k + 256], strict=True):
+                own = np.union1d(np.flatnonzero(row <= most), home[:1]).astype(np.int64)
                 if counts[own].sum() < least:
                     order = np.argsort(self.apart(point[None], self.centroids)[0], kind="stable")
                     own = np.union1d(own, order[: int(np.searchsorted(np.cumsum(counts[order]), least)) + 1])

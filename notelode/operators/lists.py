@@ -160,7 +160,7 @@ def workspace_stats(spark, sf_dir) -> DataFrame:
     return row.select("notes", "segments", "active", "disputed", "rejected", F.greatest(F.lit(0).cast("long"), F.col("all") - F.col("covered")).alias("uncovered"))
 
 
-_INBOX = _ISSUES + """, ib AS (SELECT 'ingest' AS type, 0 AS priority, event_id::varchar AS item, epoch(ts)::bigint AS stamp FROM events WHERE event_type = 'error'
+_INBOX = _ISSUES + """, ib AS (SELECT 'ingest' AS type, 0 AS priority, event_id::varchar AS item, floor(epoch(ts))::bigint AS stamp FROM events WHERE event_type = 'error'
 UNION ALL SELECT 'convert_fail', 1, page_id::varchar, page_id FROM pages WHERE length(html) < 2000
 UNION ALL SELECT 'lint', 2, item, 0 FROM i
 UNION ALL SELECT 'merge_candidate', 2, min(doc_id)::varchar, count(*) FROM documents GROUP BY md5(text) HAVING count(*) > 1
@@ -170,12 +170,18 @@ UNION ALL SELECT 'link', 3, src || '>' || dst, pos FROM links WHERE status = 'pe
 UNION ALL SELECT 'conversation', 4, conv_id::varchar, max(turn) FROM conversations GROUP BY conv_id HAVING count(*) > 8)"""
 
 
+def seconds(c) -> F.Column:
+    """Whole seconds since 1970 of a time without a zone, whatever the session's zone is."""
+    t = F.col(c).cast("timestamp_ntz")
+    return F.datediff(t, F.lit("1970-01-01").cast("date")).cast("long") * 86400 + F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t)
+
+
 def inbox(spark, sf_dir) -> DataFrame:
     """type, priority, item, stamp: what waits for the user, from eight sources."""
     s = lambda c: F.col(c).cast("string").alias("item")
     zero = F.lit(0).cast("long")
     sources = [
-        ("ingest", 0, table(spark, sf_dir, "events").where("event_type = 'error'").select(s("event_id"), F.unix_seconds(F.col("ts").cast("timestamp")))),
+        ("ingest", 0, table(spark, sf_dir, "events").where("event_type = 'error'").select(s("event_id"), seconds("ts"))),
         ("convert_fail", 1, table(spark, sf_dir, "pages").where(F.char_length("html") < 2000).select(s("page_id"), "page_id")),
         ("lint", 2, issues(spark, sf_dir).select("item", zero)),
         ("merge_candidate", 2, table(spark, sf_dir, "documents").groupBy(F.md5("text")).agg(F.min("doc_id").cast("string").alias("d"), F.count("*").alias("n")).where("n > 1").select("d", "n")),
@@ -304,11 +310,11 @@ def claims_by_topic(spark, sf_dir) -> DataFrame:
     return deepest.groupBy("topic").agg(F.count("*").alias("claims"), F.min("claim_id").alias("first"))
 
 
-@query("WITH t AS (SELECT DISTINCT lang || ' > ' || source AS topic, source AS leaf FROM documents) SELECT leaf, arg_min(topic, -length(topic) * 1000 + ascii(topic)) AS topic, count(*) AS n FROM t GROUP BY leaf")
+@query("WITH t AS (SELECT DISTINCT lang || ' > ' || source AS topic, source AS leaf FROM documents) SELECT leaf, arg_min(topic, (-length(topic), topic)) AS topic, count(*) AS n FROM t GROUP BY leaf")
 def leaf_topics(spark, sf_dir) -> DataFrame:
-    """The longest full topic of each last segment; the first letter decides among equals."""
+    """The longest full topic of each last segment, of equals the first."""
     t = table(spark, sf_dir, "documents").select(F.concat_ws(" > ", "lang", "source").alias("topic"), F.col("source").alias("leaf")).distinct()
-    return t.groupBy("leaf").agg(F.min_by("topic", -F.char_length("topic") * 1000 + F.ascii("topic")).alias("topic"), F.count("*").alias("n"))
+    return t.groupBy("leaf").agg(F.min_by("topic", F.struct(-F.char_length("topic"), "topic")).alias("topic"), F.count("*").alias("n"))
 
 
 @query(W("notes", "blocks") + ", f AS (SELECT n.topic, n.doc_id, b.ordinal, substr(b.content, 1, 120) AS line, n.doc_id % 10 = 0 AS survey FROM blocks b JOIN notes n USING (doc_id) WHERE NOT starts_with(b.content, '#')) SELECT topic, line FROM f QUALIFY row_number() OVER (PARTITION BY topic ORDER BY survey DESC, doc_id, ordinal) = 1")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load() -> None:
-    from notelode.operators import graph, hybrid, judgment, links, lists, retrieval, review, scalars, semantic, similarity, stored, text, upkeep  # noqa: F401
+    from notelode.operators import graph, hamming, hybrid, judgment, links, lists, retrieval, review, scalars, semantic, similarity, stored, text, upkeep  # noqa: F401
     from notelode.streaming import changes  # noqa: F401
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from notelode.functions import text as X
+from notelode.operators.overlap import sharing
 from notelode.plans.catalog import query
 from notelode.plans.checkpoints import stored
 from notelode.plans.store import blocks, bucket, change_log, claims, evidence, mentions, notes, objects, table, verifications, with_kinds
@@ -111,8 +112,7 @@ def semantic_shares(spark, sf_dir) -> DataFrame:
 
     Documents with the very same names are one, so copies make no pairs among themselves.
     """
-    reps, sets = distinct_sets(mentions(spark, sf_dir))
-    pairs = overlapping(reps, sets, lambda n: F.lit(3))
+    pairs = sharing(distinct_sets(mentions(spark, sf_dir))[1])
     n = F.col("shared")
     return pairs.select("doc_a", "doc_b", "shared", F.when(n >= 5, 90 + F.least(n, F.lit(10))).otherwise(70 + n).alias("score"))
 

@@ -7,13 +7,12 @@ spellings that extraction gives.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from notelode.functions import text as X
+from notelode.operators.names import shape, shape_sql
 from notelode.plans.catalog import query
 from notelode.plans.store import bucket, mentions, table
 from notelode.plans.store import with_tables as W
@@ -27,15 +26,15 @@ _PART = r"[^，。；、\s,;]"
 POLARITY = f"({_PART}{{2,24}}?)({COMPARE}|{CHANGE}|{RATE})({_PART}{{0,24}})"
 
 # What makes a statement an opinion, a matter of taste, a saying, a description of behaviour, a hypothesis or a conclusion.
-OPINION = "我认为|我觉得|我个人(?:认为|觉得|的看法|的观点|而言)|在我看来|依我(?:之见|看来)|我的(?:观点|看法|立场|经验)|主观(?:上|地)?(?:认为|觉得|看|判断)|凭(?:感觉|直觉)|感觉上|直觉上|i\\s+(?:think|believe|feel|prefer|like|recommend|personally)"
-TASTE = "最(?:好|强大|优秀|出色|合适|适合|友好|流行|受欢迎|方便|好用|理想|完美|推荐)|更好(?:用|看|使)|更(?:友好|方便|好用|完美|出色)|最佳|优先级\\s*P\\d|no\\.?\\s*1|strongest|easiest|most\\s+popular|most\\s+friendly|highly\\s+recommended"
+OPINION = "我认为|我觉得|我个人(?:认为|觉得|的看法|的观点|而言)|在我看来|依我(?:之见|看来)|我的(?:观点|看法|立场|经验)|主观(?:上|地)?(?:认为|觉得|看|判断)|说句(?:公道话|实话|心里话)|坦白(?:地)?说|个人而言|以我之见|我(?:个人)?(?:更)?(?:喜欢|偏爱|偏好|欣赏|看好)|我(?:更)?(?:倾向|倾向于|愿意)|我不(?:喜欢|看好|赞成|同意|认为|觉得)|我(?:坚决)?(?:支持|反对)这个观点|凭(?:感觉|直觉)|感觉上|直觉上|i\\s+(?:think|believe|feel|prefer|like|recommend|personally)"
+TASTE = "最(?:好|强大|优秀|出色|合适|适合|友好|流行|受欢迎|方便|好用|理想|完美|推荐)|更好(?:用|看|使)|更(?:友好|方便|好用|完美|出色)|最佳|优先级\\s*P\\d|no\\.?\\s*1|(?:the\\s+)?best(?:est)?\\b|strongest|easiest|most\\s+popular|most\\s+friendly|highly\\s+recommended"
 SAYING = "^[一-鿿，,]{2,16}(?:比[一-鿿]{1,8}(?:更|较)?(?:重要|好|强|优|差|有效|值得|实在|划算|便宜|高效|清晰)|(?:远)?高于[一-鿿]{1,8})[。！!]?$"
 BEHAVIOUR = "^[一-鿿A-Za-z0-9]{2,16}自动(?:告警|报警|触发|执行|识别|检测|生成|保存|记录|上报|恢复|降级|切换|汇总|同步|重试)[。！!]?$"
 HYPOTHESIS = "可能|或许|也许|推测|猜想|假设|尚待|有待|待验证|待检验|未验证|如果|若(?:是|在|能|可|将|要|有|无)|倘若|may|might|could|possibly|perhaps|hypothes(?:is|ize|ized)|unverified"
 CONCLUSION = (
-    "优于|劣于|不如|高于|低于|强于|弱于|胜过|落后于|相比|相较|更(?:优|劣|好|差|高|低|强|弱|快|慢|稳健|可靠|有效|适合)|最(?:佳|优|差|高|低|强|弱|快|慢|重要|关键)|"
+    "优于|劣于|不如|高于|低于|强于|弱于|胜过|落后于|相比|相较|比.{1,30}(?:优|劣|好|差|高|低|强|弱|快|慢|稳健|可靠|有效|适合)|更(?:优|劣|好|差|高|低|强|弱|快|慢|稳健|可靠|有效|适合)|最(?:佳|优|差|高|低|强|弱|快|慢|重要|关键)|"
     "提升|提高|改善|增强|增长|上升|增加|降低|下降|减少|削弱|恶化|导致|造成|引发|使得|源于|取决于|影响|促进|抑制|有助于|归因于|因此|因而|趋势|逐渐|持续|越来越|预测|预计|将会|有望|"
-    "建议|推荐|应当|应该|值得|适合|不适合|有效|无效|可靠|稳健|重要|关键|合理|可行|不足|优势|局限|风险|足以|难以|易于|较差|优秀|出色|表明|证明|显示|发现|可见|得出结论|"
+    "建议|推荐|应当|应该|值得|适合|不适合|有效|无效|可靠|稳健|重要|关键|合理|可行|不足|优势|局限|风险|足以|难以|易于|较差|优秀|出色|表明|证明|显示|发现|可见|得出结论|支持.{0,8}(?:结论|判断|假设|推断)|"
     "outperform(?:s|ed)?|better|worse|higher|lower|improv(?:e|es|ed|ement)|increas(?:e|es|ed)|decreas(?:e|es|ed)|reduc(?:e|es|ed)|caus(?:e|es|ed)|leads?\\s+to|recommend(?:s|ed)?|should|effective|reliable|risk"
 )
 
@@ -155,21 +154,12 @@ def raw_names(spark, sf_dir) -> DataFrame:
     return mentions(spark, sf_dir).select("name").distinct().select("name", F.replace(F.replace(form, F.lit("{n}"), F.col("name")), F.lit("{N}"), F.upper(F.replace(F.col("name"), F.lit("ß"), F.lit("ss")))).alias("raw"))
 
 
-#: Rules in order, and what they match; the first that does names the reason.
-NOISE = (
-    ("too short", r"^.?$"), ("outer space", r"^\s|\s$"), ("hangs over", r"[._-]$"), ("hidden file", r"^\.[a-z]"), ("flag", r"^[_-]"), ("reference", r"^@"),
-    ("setting", r"^[A-Z]+(?:_[A-Z0-9]+)+$"), ("quantity", r"^[0-9]+(?:\.[0-9]+)?(?:[KMG]B?\b|\s*[份个元美项]|[×x][0-9])"), ("status code", r"^[1-5][0-9]{2} \p{L}"), ("citation", r"et al\.|\([12][0-9]{3}\)"),
-    ("file", r"(?i)\.(?:md|txt|pdf|docx?|pptx?|html?|json|ya?ml|py|js|ts|csv)$"), ("version", r"^v?[0-9]+(?:\.[0-9]+)+$"), ("heading", r"^[0-9]{1,2}[_.-]\S"), ("several", r"[/、]"),
-    ("host", r"^(?:[a-z0-9-]+\.)+(?:com|org|net|io|cn|dev|ai)$"), ("leading digits", r"^[0-9]"), ("title", r"报告|指南|路线图|白皮书|合集|面试题|入门教程|官方文档"), ("no letters", r"^[^\p{L}]*$"),
-)
-
-
 def noise(c) -> Column:
-    """The first rule that a name breaks, or ok."""
-    return F.coalesce(reduce(lambda e, r: F.coalesce(e, F.when(c.rlike(r[1]), r[0])), NOISE, F.lit(None).cast("string")), F.lit("ok"))
+    """The first rule on shapes that a name breaks, or ok."""
+    return F.coalesce(shape(c), F.lit("ok"))
 
 
-_NOISE_SQL = "CASE " + " ".join(f"WHEN regexp_matches(raw, '{p}') THEN '{n}'" for n, p in NOISE) + " ELSE 'ok' END"
+_NOISE_SQL = f"coalesce({shape_sql('raw')}, 'ok')"
 
 
 @query(_RAW + f" SELECT raw, {_NOISE_SQL} AS gate FROM rn")

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def _load() -> None:
     from notelode.operators import graph, hamming, hybrid, judgment, links, lists, names, retrieval, review, scalars, semantic, similarity, stored, text, upkeep  # noqa: F401
-    from notelode.streaming import changes  # noqa: F401
+    from notelode.streaming import changes, polling  # noqa: F401
 
 
 def all_queries() -> dict:

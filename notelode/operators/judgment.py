@@ -116,25 +116,49 @@ def statement_polarities(spark, sf_dir) -> DataFrame:
     return polarities(statements(spark, sf_dir), "doc_id")
 
 
-_CAP = " QUALIFY row_number() OVER (PARTITION BY kind, subject, target, context, direction ORDER BY doc_id) <= 10"
+# Fixed value: statements of a side that are tried for each assertion.
+SIDE = 10
+_CX = ", cx AS (SELECT doc_id, kind, subject, target, direction, 't:' || topic AS context FROM {0} UNION ALL SELECT doc_id, kind, subject, target, direction, 's:' || scope FROM {0} WHERE scope <> '')"
+_CF = ", cp AS (SELECT * FROM (SELECT DISTINCT doc_id, kind, subject, target, direction, topic, scope FROM po) QUALIFY row_number() OVER (PARTITION BY kind, subject, target, direction ORDER BY doc_id) <= 10)" + _CX.format("cp")
 
 
-@query(_STATEMENTS + _pol_sql("doc_id, topic, scope") + ", cx AS (SELECT doc_id, kind, subject, target, direction, 't:' || topic AS context FROM po UNION ALL SELECT doc_id, kind, subject, target, direction, 's:' || scope FROM po WHERE scope <> ''), cp AS (SELECT * FROM cx" + _CAP + ") SELECT DISTINCT least(a.doc_id, b.doc_id) AS claim_a, greatest(a.doc_id, b.doc_id) AS claim_b, a.kind, a.subject, a.target FROM cp a JOIN cp b USING (kind, subject, target, context) WHERE a.direction = 1 AND b.direction = -1")
+@query(_STATEMENTS + _pol_sql("doc_id, topic, scope") + "" + _CF + " SELECT DISTINCT least(a.doc_id, b.doc_id) AS claim_a, greatest(a.doc_id, b.doc_id) AS claim_b, a.kind, a.subject, a.target FROM cx a JOIN cx b USING (kind, subject, target, context) WHERE a.direction = 1 AND b.direction = -1 AND a.doc_id <> b.doc_id")
 def polarity_conflicts(spark, sf_dir) -> DataFrame:
-    """Statements that say opposite things of the same, in one topic or one scope: the first ten of either side.
+    """Statements that say opposite things of the same, in one topic or one scope, among the first ten of either side;
+    polarity_classes has all of them."""
+    return conflicting(polarities(statements(spark, sf_dir), "doc_id", "topic", "scope"))
 
-    A context (topic or scope) is part of the join key, so the either-or is one equi-join over two rows a statement.
-    """
-    p = polarities(statements(spark, sf_dir), "doc_id", "topic", "scope")
+
+KEY = ("kind", "subject", "target")
+
+
+def in_contexts(p: DataFrame) -> DataFrame:
+    """The assertions p, a row for each context: topic and, if there is one, scope. So the either-or is one equi-join."""
     contexts = F.array_compact(F.array(F.concat(F.lit("t:"), "topic"), F.when(F.col("scope") != "", F.concat(F.lit("s:"), "scope"))))
-    c = p.select("doc_id", "kind", "subject", "target", "direction", F.explode(contexts).alias("context"))
-    key = ["kind", "subject", "target", "context"]
-    c = c.withColumn("r", F.row_number().over(Window.partitionBy(*key, "direction").orderBy("doc_id"))).where("r <= 10")
-    a, b = (c.where(F.col("direction") == d).select(*key, F.col("doc_id").alias(n)) for d, n in ((1, "x"), (-1, "y")))
-    return a.join(b, key).select(F.least("x", "y").alias("claim_a"), F.greatest("x", "y").alias("claim_b"), "kind", "subject", "target").distinct()
+    return p.select("doc_id", *KEY, "direction", F.explode(contexts).alias("context"))
+
+
+def conflicting(p: DataFrame, side: int = SIDE) -> DataFrame:
+    """claim_a, claim_b and what of: pairs of assertions (doc_id, kind, subject, target, direction, topic, scope) of opposite directions
+    in one context. The first ``side`` statements of each direction are tried, before contexts are compared."""
+    some = p.dropDuplicates(["doc_id", *KEY, "direction", "topic", "scope"])
+    some = some.withColumn("r", F.row_number().over(Window.partitionBy(*KEY, "direction").orderBy("doc_id"))).where(F.col("r") <= side)
+    c = in_contexts(some)
+    a, b = (c.where(F.col("direction") == d).select(*KEY, "context", F.col("doc_id").alias(n)) for d, n in ((1, "x"), (-1, "y")))
+    met = a.join(b, [*KEY, "context"]).where("x <> y")
+    return met.select(F.least("x", "y").alias("claim_a"), F.greatest("x", "y").alias("claim_b"), *KEY).distinct()
+
+
+@query(_STATEMENTS + _pol_sql("doc_id, topic, scope") + _CX.format("po") + " SELECT kind, subject, target, context, count(DISTINCT doc_id) FILTER (WHERE direction = 1) AS positives, count(DISTINCT doc_id) FILTER (WHERE direction = -1) AS negatives, min(doc_id) FILTER (WHERE direction = 1) AS first_positive, min(doc_id) FILTER (WHERE direction = -1) AS first_negative FROM cx GROUP BY ALL HAVING positives > 0 AND negatives > 0")
+def polarity_classes(spark, sf_dir) -> DataFrame:
+    """All conflicts, as classes: every statement of one direction in a context is in conflict with every one of the other."""
+    side = lambda d: F.when(F.col("direction") == d, F.col("doc_id"))
+    c = in_contexts(polarities(statements(spark, sf_dir), "doc_id", "topic", "scope")).groupBy(*KEY, "context")
+    c = c.agg(F.countDistinct(side(1)).alias("positives"), F.countDistinct(side(-1)).alias("negatives"), F.min(side(1)).alias("first_positive"), F.min(side(-1)).alias("first_negative"))
+    return c.where("positives > 0 and negatives > 0")
 
 
-@query(_STATEMENTS + _pol_sql("doc_id, topic, scope") + ", cx AS (SELECT doc_id, kind, subject, target, direction, 't:' || topic AS context FROM po UNION ALL SELECT doc_id, kind, subject, target, direction, 's:' || scope FROM po WHERE scope <> ''), cp AS (SELECT * FROM cx" + _CAP + "), cf AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM cp a JOIN cp b USING (kind, subject, target, context) WHERE a.direction = 1 AND b.direction = -1), op AS (SELECT x AS claim_id, y AS opposite FROM cf UNION SELECT y, x FROM cf) SELECT claim_id, opposite, row_number() OVER (PARTITION BY claim_id ORDER BY opposite) AS rank FROM op QUALIFY rank <= 2")
+@query(_STATEMENTS + _pol_sql("doc_id, topic, scope") + "" + _CF + ", cf AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM cx a JOIN cx b USING (kind, subject, target, context) WHERE a.direction = 1 AND b.direction = -1 AND a.doc_id <> b.doc_id), op AS (SELECT x AS claim_id, y AS opposite FROM cf UNION SELECT y, x FROM cf) SELECT claim_id, opposite, row_number() OVER (PARTITION BY claim_id ORDER BY opposite) AS rank FROM op QUALIFY rank <= 2")
 def opposite_statements(spark, sf_dir) -> DataFrame:
     """The first two statements that each statement is in conflict with, in both directions."""
     c = polarity_conflicts(spark, sf_dir).select(F.explode(F.array(F.struct(F.col("claim_a").alias("claim_id"), F.col("claim_b").alias("opposite")), F.struct(F.col("claim_b").alias("claim_id"), F.col("claim_a").alias("opposite")))).alias("p")).select("p.*").distinct()

@@ -339,22 +339,37 @@ def extraction_batches(spark, sf_dir) -> DataFrame:
     return packed_batches(items).groupBy("grp", "batch").agg(F.count("*").alias("items"), F.sum("size").alias("chars"))
 
 
-_BUDGET = "WITH RECURSIVE it AS (SELECT lang AS grp, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS pos, length(text) AS size, count(*) OVER (PARTITION BY lang) AS n FROM documents WHERE doc_id % 10 = 0), rc AS (SELECT grp, pos, size, n, least(size, 50000 // n) AS given, 50000 - least(size, 50000 // n) AS rest FROM it WHERE pos = 1 UNION ALL SELECT i.grp, i.pos, i.size, i.n, least(i.size, r.rest // (i.n - i.pos + 1)), r.rest - least(i.size, r.rest // (i.n - i.pos + 1)) FROM rc r JOIN it i ON i.grp = r.grp AND i.pos = r.pos + 1)"
+#: Characters that a topic's notes share.
+BUDGET = 50_000
+_BUDGET = f"WITH RECURSIVE it AS (SELECT lang AS grp, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS pos, length(text) AS size, count(*) OVER (PARTITION BY lang) AS n FROM documents), rc AS (SELECT grp, pos, size, n, least(size, {BUDGET} // n) AS given, {BUDGET} - least(size, {BUDGET} // n) AS rest FROM it WHERE pos = 1 UNION ALL SELECT i.grp, i.pos, i.size, i.n, least(i.size, r.rest // (i.n - i.pos + 1)), r.rest - least(i.size, r.rest // (i.n - i.pos + 1)) FROM rc r JOIN it i ON i.grp = r.grp AND i.pos = r.pos + 1)"
 
 
-@query(_BUDGET + " SELECT grp, count(*) AS notes, sum(given)::bigint AS given, min(rest) AS rest FROM rc GROUP BY grp")
-def allotted_budget(spark, sf_dir) -> DataFrame:
-    """A budget of characters shared among a topic's asked notes in order: each gets the rest's equal share at most, and what a
-    short note leaves goes to those that follow."""
-    d = table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select(F.col("lang").alias("grp"), "doc_id", F.char_length("text").alias("size"))
+def allotted(notes: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """grp, notes, given, rest: a budget shared among the notes (grp, pos, size; different pos) of each group in order of pos: each
+    gets the rest's equal share at most, and what a short note leaves goes to those that follow.
+
+    Shares are whole characters, so while more notes follow than the budget has characters, each gets none and nothing
+    changes: only the last ``budget`` notes of a group take part in the recurrence, however many there are. A size of null is 0.
+    """
+    sizes = notes.select("grp", "pos", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
+    counts = sizes.groupBy("grp").agg(F.count("*").alias("notes"))
+    last = Window.partitionBy("grp").orderBy(F.desc("pos"))
+    tail = sizes.withColumn("r", F.row_number().over(last)).where(F.col("r") <= max(budget, 1))
 
     def run(key, b):
         import pandas as pd
 
-        rest, given, n = 50_000, 0, len(b)
-        for k, size in enumerate(b.sort_values("doc_id")["size"]):
-            own = min(int(size), rest // (n - k))
+        rest, given = budget, 0
+        for left, size in b.sort_values("r", ascending=False)[["r", "size"]].itertuples(index=False):
+            own = min(size, rest // left)  # left: this note and those that follow
             rest, given = rest - own, given + own
-        return pd.DataFrame({"grp": [key[0]], "notes": [n], "given": [given], "rest": [rest]})
+        return pd.DataFrame({"grp": [key[0]], "given": [given], "rest": [rest]})
 
-    return d.groupBy("grp").applyInPandas(run, "grp string, notes long, given long, rest long")
+    shared = tail.groupBy("grp").applyInPandas(run, "grp string, given long, rest long")
+    return counts.join(shared, counts["grp"].eqNullSafe(shared["grp"])).select(counts["grp"], "notes", "given", "rest")
+
+
+@query(_BUDGET + " SELECT grp, count(*) AS notes, sum(given)::bigint AS given, min(rest) AS rest FROM rc GROUP BY grp")
+def allotted_budget(spark, sf_dir) -> DataFrame:
+    """What the notes of each language get of a budget of characters, in order of their ids."""
+    return allotted(table(spark, sf_dir, "documents").select(F.col("lang").alias("grp"), F.col("doc_id").alias("pos"), F.char_length("text").alias("size")))

@@ -47,13 +47,13 @@ PERCENTILE = 90
 SHARD_CHARS = 16 << 20
 SHARD_IDS = 2 << 20
 #: Characters that a worker takes up at a time.
-PART_CHARS = 2 << 20
+PART_CHARS = 3 << 20
 #: Tasks that read shards, at most; each reads one file after another.
 READ_TASKS = 20_000
 #: Tasks whose ids are summed as one group.
 GROUP = 1024
 #: Pieces that a worker remembers, about: those met lately, and half as many met before.
-MEMORY = 600_000
+MEMORY = 1_000_000
 NULL_ID = -(1 << 63)
 MAGIC = b"PFOR"
 HEAD = struct.Struct("<4sIQQQQ")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notelode.functions import text as X
@@ -68,12 +68,36 @@ def conflict_queue(spark, sf_dir) -> DataFrame:
     return keep_reviewed(found, queue)
 
 
-@query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, regexp_matches(url, '^https?://') AND NOT regexp_matches(lower(url), '^https?://(localhost|127\\.|10\\.|192\\.168\\.|172\\.(1[6-9]|2[0-9]|3[01])\\.|169\\.254\\.)') AS safe FROM pages")
+# What is no address of the public internet.
+HOST = r"(?i)^https?://(?:[^/?#\\]*@)?(\[[^\]]*\]|[^/?#:]*)"
+LOCAL_NAME = r"^$|[\s\\%]|(^|\.)(localhost|local|internal)\.?$"
+NUMBER = r"(^|\.)(0x[0-9a-f]*|[0-9]+)\.?$"
+QUAD = r"^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}$"
+RESERVED = r"^(0|10|127|2[234][0-9]|25[0-5])\.|^100\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.|^169\.254\.|^172\.(1[6-9]|2[0-9]|3[01])\.|^192\.168\.|^192\.0\.[02]\.|^198\.1[89]\.|^198\.51\.100\.|^203\.0\.113\."
+PUBLIC_SIX = r"^\[[23][0-9a-f]{3}:[0-9a-f:.]*\]$"
+
+
+def host_of(url) -> Column:
+    """The host of a web address, in lower case, without user, password and port; empty where there is none."""
+    return F.lower(F.regexp_extract(url, HOST, 1))
+
+
+def safe_url(url) -> Column:
+    """Whether a url may be fetched: http only, and no local name, no private or reserved address, and none in a spelling other
+    than four decimal numbers or a global IPv6 address. A null url may not."""
+    host = host_of(url)
+    number = host.rlike(NUMBER)
+    fine = F.when(host.startswith("["), host.rlike(PUBLIC_SIX)).when(number, host.rlike(QUAD) & ~host.rlike(RESERVED)).otherwise(~host.rlike(LOCAL_NAME))
+    return F.coalesce(url.rlike("(?i)^https?://") & fine, F.lit(False))
+
+
+_HOST_SQL = f"lower(regexp_extract(url, '{HOST}', 1))"
+
+
+@query(f"SELECT page_id, host, coalesce(regexp_matches(url, '(?i)^https?://') AND CASE WHEN starts_with(host, '[') THEN regexp_matches(host, '{PUBLIC_SIX}') WHEN regexp_matches(host, '{NUMBER}') THEN regexp_matches(host, '{QUAD}') AND NOT regexp_matches(host, '{RESERVED}') ELSE NOT regexp_matches(host, '{LOCAL_NAME}') END, false) AS safe FROM (SELECT page_id, url, {_HOST_SQL} AS host FROM pages)")
 def url_safety(spark, sf_dir) -> DataFrame:
-    """Whether a url may be fetched: http only, and no local or private address."""
-    u = F.col("url")
-    private = F.lower(u).rlike(r"^https?://(localhost|127\.|10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.|169\.254\.)")
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(u, r"^[a-z]+://([^/:?#]+)", 1).alias("host"), (u.rlike("^https?://") & ~private).alias("safe"))
+    """Which pages' urls may be fetched."""
+    return table(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"), safe_url(F.col("url")).alias("safe"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN length(text) < 20 THEN 'easy' WHEN length(text) > 200 OR length(text) - length(replace(text, '?', '')) >= 2 THEN 'broad' ELSE 'medium' END AS complexity FROM conversations WHERE role = 'user'")

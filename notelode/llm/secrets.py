@@ -226,6 +226,7 @@ def labelled_findings(spark, rows: int = TRAIN_ROWS) -> DataFrame:
 def train(findings: DataFrame, known: DataFrame | None = None) -> PipelineModel:
     """A forest over findings (before2, before, word, after, label)."""
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep")
+    findings = stored(findings.select("before2", "before", "word", "after", "label"))  # written out once, not once a feature
     rows = stored(assembler.transform(featured(findings, known)).select("features", "label"))
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, maxBins=32, seed=11).fit(rows)
     return PipelineModel([assembler, forest])

@@ -257,14 +257,14 @@ def documents_to_retry(spark, sf_dir) -> DataFrame:
     return failed.groupBy("doc_id").agg(F.count("*").alias("failed"), F.min("ordinal").cast("long").alias("first")).orderBy(F.desc("failed"), "doc_id").limit(50)
 
 
-@query(_SETS + ", sh AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM rd a JOIN rd b ON a.name = b.name AND a.doc_id < b.doc_id GROUP BY ALL HAVING count(*) >= 3), sc AS (SELECT x, y, CASE WHEN n >= 5 THEN 90 + least(n, 10) ELSE 70 + n END AS score, 'objects' AS reason FROM sh UNION ALL SELECT least(l_orderkey, l_partkey), greatest(l_orderkey, l_partkey), 60, 'link' FROM lineitem WHERE l_orderkey <> l_partkey AND l_orderkey < 1000 AND l_partkey < 1000), di AS (SELECT x AS src, y AS dst, score, reason FROM sc UNION ALL SELECT y, x, score, reason FROM sc) SELECT src, dst, max(score) AS score, min(reason) AS reasons FROM di WHERE src % 20 = 0 GROUP BY ALL")
+@query(_SETS + ", sh AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM rd a JOIN rd b ON a.name = b.name AND a.doc_id < b.doc_id GROUP BY ALL HAVING count(*) >= 3), sc AS (SELECT x, y, CASE WHEN n >= 5 THEN 90 + least(n, 10) ELSE 70 + n END AS score, 'objects' AS reason FROM sh UNION ALL SELECT least(l_orderkey, l_partkey), greatest(l_orderkey, l_partkey), 60, 'link' FROM lineitem WHERE l_orderkey <> l_partkey), di AS (SELECT x AS src, y AS dst, score, reason FROM sc UNION ALL SELECT y, x, score, reason FROM sc) SELECT src, dst, max(score) AS score, min(reason) AS reasons FROM di WHERE src % 20 = 0 GROUP BY ALL")
 def cross_references(spark, sf_dir) -> DataFrame:
     """What the asked documents (ids divisible by 20) may refer to, with the best score over all reasons."""
     reps, sets = distinct_sets(mentions(spark, sf_dir))
     n = F.col("shared")
     score = F.when(n >= 5, 90 + F.least(n, F.lit(10))).otherwise(70 + n)
     shares = overlapping(reps, sets, lambda n: F.lit(3)).select(F.col("doc_a").alias("x"), F.col("doc_b").alias("y"), score.alias("score"), F.lit("objects").alias("reason"))
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey <> l_partkey and l_orderkey < 1000 and l_partkey < 1000")
+    li = table(spark, sf_dir, "lineitem").where("l_orderkey <> l_partkey")
     every = shares.unionAll(li.select(F.least("l_orderkey", "l_partkey"), F.greatest("l_orderkey", "l_partkey"), F.lit(60).cast("long"), F.lit("link")))
     ways = every.select(F.explode(F.array(F.struct(F.col("x").alias("src"), F.col("y").alias("dst")), F.struct(F.col("y").alias("src"), F.col("x").alias("dst")))).alias("w"), "score", "reason")
     return ways.where("w.src % 20 = 0").groupBy("w.src", "w.dst").agg(F.max("score").alias("score"), F.min("reason").alias("reasons"))

@@ -109,10 +109,10 @@ def simhash(c) -> Column:
     return F.concat(*(F.when(one(i), "1").otherwise("0") for i in range(63, -1, -1)))
 
 
-@query("WITH b AS (SELECT doc_id, regexp_replace(CASE WHEN length(text) > 400 THEN substr(text, 1, 400) ELSE text END, '\\s+', ' ', 'g') AS t FROM documents), s AS (SELECT doc_id, unnest(regexp_split_to_array(t, '[.!?]')) AS s, generate_subscripts(regexp_split_to_array(t, '[.!?]'), 1) AS pos FROM b), w AS (SELECT doc_id, pos, trim(s) AS s, len(regexp_extract_all(lower(s), '\\p{L}{6,}')) AS k FROM s WHERE length(trim(s)) > 8), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, pos) AS r FROM w) SELECT doc_id, string_agg(s, '. ' ORDER BY pos) AS summary FROM r WHERE r <= 2 GROUP BY doc_id")
+@query("WITH b AS (SELECT doc_id, regexp_replace(text, '\\s+', ' ', 'g') AS t FROM documents), s AS (SELECT doc_id, unnest(regexp_split_to_array(t, '[.!?]')) AS s, generate_subscripts(regexp_split_to_array(t, '[.!?]'), 1) AS pos FROM b), w AS (SELECT doc_id, pos, trim(s) AS s, len(regexp_extract_all(lower(s), '\\p{L}{6,}')) AS k FROM s WHERE length(trim(s)) > 8), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, pos) AS r FROM w) SELECT doc_id, string_agg(s, '. ' ORDER BY pos) AS summary FROM r WHERE r <= 2 GROUP BY doc_id")
 def extractive_summaries(spark, sf_dir) -> DataFrame:
-    """The two sentences with most long words, in their order."""
-    t = F.regexp_replace(F.substring("text", 1, 400), r"\s+", " ")
+    """The two sentences of a whole text with most long words, in their order."""
+    t = F.regexp_replace("text", r"\s+", " ")
     s = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(t, "[.!?]")).alias("pos", "s")).withColumn("s", F.trim("s")).where(F.char_length("s") > 8)
     k = F.regexp_count(F.lower("s"), F.lit(r"\p{L}{6,}"))
     top = s.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(k), "pos"))).where("r <= 2")
@@ -293,12 +293,12 @@ def section_chunks(found: DataFrame, size: int = 1000, overlap: int = 200) -> Da
     return found.groupBy("doc_id").applyInPandas(run, "doc_id long, section string, chunk int, content string")
 
 
-@query("WITH p AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\n')) AS line, generate_subscripts(regexp_split_to_array(text, '\\n'), 1) AS n FROM documents), k AS (SELECT doc_id, n, CASE WHEN regexp_matches(ltrim(line, ' '), '^([-*+] |[0-9]+[.)]( |$))') THEN 'list' WHEN starts_with(ltrim(line, ' '), '|') THEN 'table' WHEN starts_with(ltrim(line, ' '), '>') THEN 'quote' ELSE 'paragraph' END AS kind, trim(line) = '' AS blank FROM p WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE contains(text, '```') OR regexp_matches(text, '(?m)^#{1,6} ') OR regexp_matches(text, '(?m)^[ \\t]') OR contains(text, chr(13)))), b AS (SELECT *, CASE WHEN NOT blank AND (n = 1 OR lag(blank) OVER w OR lag(kind) OVER w <> kind) THEN 1 ELSE 0 END AS new FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY n)) SELECT doc_id, sum(new)::bigint AS blocks, count(*) FILTER (WHERE NOT blank) AS lines FROM b GROUP BY doc_id HAVING sum(new) > 0")
+# A line of three backticks opens or closes a fence, so the parity of their number so far tells what is code; an indented line stays in a
+# list, if the last line before it that is not such a line is one.
+@query(r"WITH q AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), s AS (SELECT doc_id, n, line, regexp_replace(line, '^[\s\x0b\x1c-\x1f\p{Z}]+', '') AS s FROM q), f AS (SELECT *, starts_with(s, '```') AS fence, sum(starts_with(s, '```')::int) OVER (PARTITION BY doc_id ORDER BY n) % 2 = 1 AS inner_ FROM s), k AS (SELECT *, fence OR inner_ AS code, fence OR inner_ OR s = '' OR regexp_matches(line, '^#{1,6} ') AS ends, CASE WHEN regexp_matches(s, '^([-*+] |[0-9]+[.)]+( |$))') THEN 'list' WHEN starts_with(s, '|') THEN 'table' WHEN starts_with(s, '>') THEN 'quote' ELSE 'paragraph' END AS kind, regexp_matches(line, '^[ \t]') AS indented FROM f), r AS (SELECT *, sum(ends::int) OVER (PARTITION BY doc_id ORDER BY n) AS run FROM k), e AS (SELECT doc_id, run, n, CASE WHEN indented AND last_value(CASE WHEN NOT indented OR kind = 'list' THEN kind END IGNORE NULLS) OVER (PARTITION BY doc_id, run ORDER BY n) = 'list' THEN 'list' ELSE kind END AS kind FROM r WHERE NOT ends), b AS (SELECT doc_id, (lag(kind) OVER (PARTITION BY doc_id, run ORDER BY n) IS DISTINCT FROM kind)::int AS new FROM e UNION ALL SELECT doc_id, (fence AND inner_)::int FROM k WHERE code) SELECT doc_id, sum(new)::bigint AS blocks, count(*) AS lines FROM b GROUP BY doc_id HAVING sum(new) > 0")
 def parsed_blocks(spark, sf_dir) -> DataFrame:
-    """Semantic blocks and their lines of each plain document (without headings, code or indents, which the tests parse)."""
-    d = table(spark, sf_dir, "documents")
-    plain = d.where(~F.contains("text", F.lit("```")) & ~F.col("text").rlike(r"(?m)^#{1,6} ") & ~F.col("text").rlike(r"(?m)^[ \t]") & ~F.contains("text", F.lit("\r")))
-    b = semantic_blocks(plain)
+    """Semantic blocks and their lines of each document, with code, headings and indents."""
+    b = semantic_blocks(table(spark, sf_dir, "documents"))
     return b.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.sum(F.col("end_line") - F.col("start_line") + 1).cast("long").alias("lines"))
 
 

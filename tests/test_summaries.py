@@ -109,3 +109,20 @@ def test_requoted_blocks_against_the_plain_rule(spark, sf):
                 first[begin] = doc_id, ordinal, content
     got = [tuple(r) for r in quotes.requoted_blocks(spark, sf).collect()]
     assert len(got) == len(set(got)) and set(got) == expect
+
+
+def test_blocks_of_fences_lists_and_headings_have_their_sql(spark, tmp_path):
+    """The parser against its SQL on texts that the tables lack."""
+    import duckdb
+
+    from notelode import all_sql
+    from notelode.operators import scalars
+
+    rng = random.Random(8)
+    lines = ["plain", "  indented", "- item", "  - inner", "1. one", "2) two", "  3. three", "| a |", "> said", "```", "  ```py", "# head", "####### seven", "", "   ", "\ttab"]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randint(0, 25))) for _ in range(300)] + [None, "", "\n\n", "```\nopen"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in scalars.parsed_blocks(spark, str(tmp_path)).collect())
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == sorted(db.execute(all_sql()["parsed_blocks"]).fetchall()) and len(got) > 250

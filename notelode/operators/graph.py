@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from notelode.functions import text as X
+from notelode.operators.containment import contained
 from notelode.operators.links import _DEDUP, deduped
 from notelode.operators.semantic import _SETS, distinct_sets, latest_verdicts, overlapping
 from notelode.plans.catalog import query
@@ -145,19 +146,11 @@ def page_titles(spark, sf_dir) -> DataFrame:
 
 @query("WITH " + _TITLES + " SELECT a.page_id AS src, b.page_id AS dst FROM bd a JOIN ti b ON a.page_id <> b.page_id AND length(b.title) >= 2 AND contains(a.body, b.title)")
 def title_mentions(spark, sf_dir) -> DataFrame:
-    """Pages whose text holds another page's title, spaces aside.
-
-    A title can only stand where the text has the title's first eight characters: those are the join key, and whole titles
-    are compared after it; titles of fewer characters are keys of their own length.
-    """
-    t = page_titles(spark, sf_dir).where(F.char_length("title") >= 2).select(F.col("page_id").alias("dst"), "title", F.substring("title", 1, 8).alias("key"))
-    lengths = [r.n for r in t.select(F.char_length("key").alias("n")).distinct().collect()]  # seven values at most
+    """Pages whose text holds another page's title, spaces aside; different titles are looked for once (operators/containment.py)."""
+    t = page_titles(spark, sf_dir).where(F.char_length("title") >= 2).select(F.col("page_id").alias("dst"), F.col("title").alias("pattern"))
     body = F.lower(F.regexp_replace(F.regexp_replace("html", "<[^>]+>", " "), r"\s+", ""))
-    b = table(spark, sf_dir, "pages").select(F.col("page_id").alias("src"), body.alias("body"))
-    grams = lambda n: F.regexp_extract_all("body", F.lit(f"(?=(.{{{n}}}))"), F.lit(1))  # noqa: E731  a look-ahead at each place
-    keys = F.explode(F.array_distinct(F.concat(*map(grams, lengths or [8]))))
-    met = b.select("src", keys.alias("key")).join(t.select("key", "dst"), "key").where("src <> dst").select("src", "dst").distinct()
-    return met.join(b, "src").join(t.select("dst", "title"), "dst").where(F.contains("body", "title")).select("src", "dst")
+    held = contained(table(spark, sf_dir, "pages").select(F.col("page_id").alias("text_id"), body.alias("body")), t)
+    return held.withColumnRenamed("text_id", "src").join(t, "pattern").where("src <> dst").select("src", "dst")
 
 
 @query("WITH nt AS (SELECT doc_id, source AS topic, [lang] AS tags, list_distinct(list_slice(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), 1, 6)) AS title FROM documents), p1 AS (SELECT a.doc_id AS x, b.doc_id AS y, 1 AS pr FROM nt a JOIN nt b ON a.topic = b.topic AND a.doc_id < b.doc_id WHERE a.doc_id % 20 = 0), tk AS (SELECT doc_id, unnest(title) AS w FROM nt WHERE len(tags) = 0 OR doc_id % 3 = 0), p3 AS (SELECT a.doc_id AS x, b.doc_id AS y, 3 AS pr FROM tk a JOIN tk b ON a.w = b.w AND a.doc_id < b.doc_id WHERE a.doc_id % 20 = 0 AND length(a.w) >= 4 GROUP BY ALL HAVING count(*) >= 2), al AS (SELECT x, y, min(pr) AS priority FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p3) GROUP BY ALL) SELECT x, y, priority FROM al ORDER BY priority, x, y LIMIT 200")
@@ -208,19 +201,33 @@ def claim_context(spark, sf_dir) -> DataFrame:
     return top.join(latest_verdicts(spark, sf_dir), "claim_id", "left").select("query_id", "claim_id", "common", "score", "verdict")
 
 
-@query(W("objects") + ", " + _ASKED + ", qx AS (SELECT query_id, string_agg(term, ' ' ORDER BY term) AS text FROM qt GROUP BY query_id), mc AS (SELECT name, count(*) AS n FROM mentions GROUP BY name), ok AS (SELECT o.name, kind FROM objects o JOIN mc USING (name) WHERE NOT (confidence < 0.6 AND n < 2)) SELECT query_id, name, kind, 1.0::double AS score FROM qx JOIN ok ON contains(qx.text, ok.name) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY kind, name) <= 4")
+_SAYS = ", mc AS (SELECT name, count(*) AS n FROM mentions GROUP BY name), ok AS (SELECT o.name, kind FROM objects o JOIN mc USING (name) WHERE NOT (confidence < 0.6 AND n < 2)), de AS (SELECT name, substr(min(content), 1, 120) AS says FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(content), '\\p{L}{8,}')) AS name, content FROM blocks) GROUP BY name), ot AS (SELECT DISTINCT name, kind, term, term = name AS own FROM (SELECT name, kind, unnest(list_append(regexp_extract_all(lower(says), '[\\p{L}\\p{N}_]+'), name)) AS term FROM ok JOIN de USING (name)) WHERE length(term) >= 2)"
+
+
+@query(W("objects") + ", " + _ASKED + _SAYS + ", qx AS (SELECT query_id, string_agg(term, ' ' ORDER BY term) AS text FROM qt GROUP BY query_id), al AS (SELECT query_id, name, kind, 1.0::double AS score FROM qx JOIN ok ON contains(qx.text, ok.name) UNION ALL SELECT query_id, name, kind, round(0.5 * count(*) / any_value(size) + 0.5 * count(*) FILTER (WHERE own) / any_value(size), 4) FROM qt JOIN ot USING (term) GROUP BY ALL HAVING count(*) >= 2 OR count(*) / any_value(size) >= 0.25), bs AS (SELECT query_id, name, kind, max(score) AS score FROM al GROUP BY ALL) SELECT query_id, name, kind, score FROM bs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, kind, name) <= 4")
 def object_context(spark, sf_dir) -> DataFrame:
-    """The four objects whose name stands in a question, rare ones of low confidence aside.
+    """The four objects most relevant to each question, rare ones of low confidence aside.
 
-    Names are met by the parts of eight letters or more of the question's words: an equi-join in place of a search.
+    An object whose name stands in the question scores 1. Others need two words in common with the question, or a quarter of its
+    words, in their name and the first 120 characters of what is said of them (their first block by text); name and both together count half each.
     """
-    n = F.char_length("term")
-    parts = F.flatten(F.transform(F.sequence(F.lit(1), n - 7), lambda i: F.transform(F.sequence(F.lit(8), n - i + 1), lambda k: F.substring("term", i, k))))
-    q = asked(spark, sf_dir).where(n >= 8).select("query_id", F.explode(F.array_distinct(parts)).alias("name")).distinct()
-    counts = mentions(spark, sf_dir).join(q.select("name").distinct(), "name", "left_semi").groupBy("name").agg(F.count("*").alias("n"))
-    good = with_kinds(counts).where("not (confidence < 0.6 and n < 2)").select("name", "kind")
-    top = q.join(good, "name").withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("kind", "name"))).where("r <= 4")
-    return top.select("query_id", "name", "kind", F.lit(1.0).alias("score"))
+    terms = stored(asked(spark, sf_dir))
+    found = stored(mentions(spark, sf_dir))
+    good = stored(with_kinds(found.groupBy("name").agg(F.count("*").alias("n"))).where("not (confidence < 0.6 and n < 2)").select("name", "kind"))
+    texts = terms.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("term")), " ").alias("body"))  # eight words at most
+    held = contained(texts.select(F.col("query_id").alias("text_id"), "body"), good.select(F.col("name").alias("pattern")))
+    named = held.select(F.col("text_id").alias("query_id"), F.col("pattern").alias("name")).join(good, "name").select("query_id", "name", "kind", F.lit(1.0).alias("score"))
+
+    says = found.join(blocks(spark, sf_dir).select("doc_id", "ordinal", "content"), ["doc_id", "ordinal"]).groupBy("name").agg(F.substring(F.min("content"), 1, 120).alias("says"))
+    words = F.explode(F.array_distinct(F.concat(X.words("says"), F.array("name"))))
+    parts = good.join(says, "name").select("name", "kind", words.alias("term")).where(F.char_length("term") >= 2)
+    common, own, size = F.count("*"), F.count(F.when(F.col("term") == F.col("name"), 1)), F.first("size")
+    near = terms.join(parts, "term").groupBy("query_id", "name", "kind").agg(common.alias("common"), own.alias("own"), size.alias("size"))
+    near = near.where((F.col("common") >= 2) | (F.col("common") / F.col("size") >= 0.25))
+    score = F.round(0.5 * F.col("common") / F.col("size") + 0.5 * F.col("own") / F.col("size"), 4)
+    best = named.unionByName(near.select("query_id", "name", "kind", score.alias("score"))).groupBy("query_id", "name", "kind").agg(F.max("score").alias("score"))
+    top = best.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "kind", "name"))).where("r <= 4")
+    return top.drop("r")
 
 
 _HITS = ", hi AS (SELECT query_id, doc_id, rank FROM (SELECT d.doc_id + 0 AS query_id, l.l_partkey AS doc_id, row_number() OVER (PARTITION BY d.doc_id ORDER BY max(l_extendedprice) DESC, l.l_partkey) AS rank FROM documents d JOIN lineitem l ON l.l_suppkey = d.doc_id WHERE l_partkey IN (SELECT doc_id FROM documents) GROUP BY d.doc_id, l.l_partkey) WHERE rank <= 5)"

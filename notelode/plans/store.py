@@ -32,14 +32,22 @@ def notes(spark, sf_dir) -> DataFrame:
 
 def blocks(spark, sf_dir) -> DataFrame:
     """doc_id, ordinal, content, hash: the non-blank lines of each document."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "line"))
+    return blocks_of(table(spark, sf_dir, "documents"))
+
+
+def blocks_of(documents: DataFrame) -> DataFrame:
+    d = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "line"))
     return d.select("doc_id", "ordinal", F.trim("line").alias("content")).where("content <> ''").withColumn("hash", F.md5(F.lower("content")))
 
 
 def mentions(spark, sf_dir) -> DataFrame:
     """name, doc_id, ordinal: the long words (8 letters or more, of any script) of each block, once a block."""
+    return mentions_of(blocks(spark, sf_dir))
+
+
+def mentions_of(found: DataFrame) -> DataFrame:
     words = F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(r"(\p{L}{8,})"), F.lit(1)))
-    return blocks(spark, sf_dir).select(F.explode(words).alias("name"), "doc_id", "ordinal")
+    return found.select(F.explode(words).alias("name"), "doc_id", "ordinal")
 
 
 def objects(spark, sf_dir, found: DataFrame | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load() -> None:
-    from notelode.operators import deltas, graph, hamming, hybrid, judgment, links, lists, names, quotes, retrieval, review, scalars, semantic, similarity, stored, summaries, text, upkeep  # noqa: F401
+    from notelode.operators import deltas, graph, hamming, hybrid, judgment, links, lists, names, quotes, retrieval, review, scalars, semantic, similarity, stored, summaries, text, topics, upkeep  # noqa: F401
     from notelode.streaming import changes, polling  # noqa: F401
 
 

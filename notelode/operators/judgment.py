@@ -215,13 +215,16 @@ def like_named(spark, sf_dir) -> DataFrame:
 GENERIC = ("the", "and", "for", "with", "from", "about", "note", "notes", "file", "page", "data", "thing", "using", "how", "what")
 
 
+def meaningful(t: Column) -> Column:
+    chinese, english = t.rlike("[一-鿿]"), t.rlike("[a-zA-Z]")
+    mixed = (F.octet_length(t) > 8) & (F.size(F.regexp_extract_all(t, F.lit("([a-zA-Z0-9]+|[一-鿿]+)"), F.lit(1))) >= 2)
+    return F.when(F.char_length(t) < 2, False).when(chinese & english, mixed).when(chinese, F.char_length(F.regexp_replace(t, "[^一-鿿]", "")) > 2).when(english, ~F.lower(t).isin(*GENERIC)).otherwise(False)
+
+
 @query(_RAW + f", tg AS (SELECT raw AS tag FROM rn UNION SELECT statement FROM (SELECT CASE doc_id % 4 WHEN 0 THEN '模型' WHEN 1 THEN '大语言模型' WHEN 2 THEN 'RAG 检索增强' ELSE 'Notes' END AS statement FROM documents)) SELECT tag, CASE WHEN length(tag) < 2 THEN false WHEN regexp_matches(tag, '[一-鿿]') AND regexp_matches(tag, '[a-zA-Z]') THEN strlen(tag) > 8 AND len(regexp_extract_all(tag, '[a-zA-Z0-9]+|[一-鿿]+')) >= 2 WHEN regexp_matches(tag, '[一-鿿]') THEN length(regexp_replace(tag, '[^一-鿿]', '', 'g')) > 2 WHEN regexp_matches(tag, '[a-zA-Z]') THEN lower(tag) NOT IN {GENERIC} ELSE false END AS meaningful FROM tg")
 def meaningful_tags(spark, sf_dir) -> DataFrame:
     """Which tags tell something: three Chinese characters, an English word that is not generic, or a longer mix of both."""
     t = F.col("tag")
     fixed = F.element_at(F.array(*map(F.lit, ("模型", "大语言模型", "RAG 检索增强", "Notes"))), (F.col("doc_id") % 4 + 1).cast("int"))
     tags = raw_names(spark, sf_dir).select(F.col("raw").alias("tag")).union(table(spark, sf_dir, "documents").select(fixed)).distinct()
-    chinese, english = t.rlike("[一-鿿]"), t.rlike("[a-zA-Z]")
-    mixed = (F.octet_length(t) > 8) & (F.size(F.regexp_extract_all(t, F.lit("([a-zA-Z0-9]+|[一-鿿]+)"), F.lit(1))) >= 2)
-    told = F.when(F.char_length(t) < 2, False).when(chinese & english, mixed).when(chinese, F.char_length(F.regexp_replace(t, "[^一-鿿]", "")) > 2).when(english, ~F.lower(t).isin(*GENERIC)).otherwise(False)
-    return tags.select("tag", told.alias("meaningful"))
+    return tags.select("tag", meaningful(t).alias("meaningful"))

@@ -15,7 +15,9 @@ def assertions():
     dice = random.Random(3)
     rows = [(i, "comparison", "a", "b", 1 if i % 2 else -1, "hot", "") for i in range(80)]
     rows += [(100 + dice.randrange(25), "change", dice.choice("ab"), "c", dice.choice((1, -1)), dice.choice(("t", "u", None)), dice.choice(("", "", "s", "r", None))) for _ in range(160)]
-    return rows + [(None, "change", "a", "c", 1, "t", "s"), (200, "change", None, "c", 1, "t", "s"), (201, "change", None, "c", -1, "t", "s")] + rows[-9:]
+    # a null doc_id is in conflict with none, and takes no one's place
+    nulls = [(None, "change", "a", "d", 1, "t", ""), *((i, "change", "a", "d", d, "t", "") for i in (300, 301, 302) for d in (1, -1))]
+    return rows + [(None, "change", "a", "c", 1, "t", "s"), (200, "change", None, "c", 1, "t", "s"), (201, "change", None, "c", -1, "t", "s"), *nulls] + rows[-9:]
 
 
 def all_conflicts(rows):
@@ -57,3 +59,20 @@ def test_polarity_conflicts_of_frequent_contexts(spark, folder):
     classes = judgment.polarity_classes(spark, folder).collect()
     assert len(rows) > 10 * 10 * len({tuple(r[2:]) for r in rows})
     assert len({r[:2] for r in rows}) <= sum(c.positives * c.negatives for c in classes)
+
+
+@pytest.mark.parametrize("most", [1, 2, 50])
+def test_first_opposites_of_all_conflicts(spark, most):
+    rows, of = assertions(), {}
+    for a, b, *_ in all_conflicts(rows):
+        of.setdefault(a, set()).add(b)
+        of.setdefault(b, set()).add(a)
+    got = sorted(tuple(r) for r in judgment.opposites(spark.createDataFrame(rows, SCHEMA), most).collect())
+    assert got == sorted((a, b, k + 1) for a, bs in of.items() for k, b in enumerate(sorted(bs)[:most]))
+
+
+def test_opposite_statements_of_frequent_contexts(spark, folder):
+    # every statement that is in conflict has its first two, not only the first ten of a side
+    rows = same(spark, folder, "opposite_statements")
+    ends = {i for r in same(spark, folder, "polarity_conflicts") for i in r[:2]}
+    assert {r[0] for r in rows} == ends and len(rows) == 2 * len(ends)

@@ -141,10 +141,20 @@ def featured(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
 def labelled_findings(spark, rows: int = TRAIN_ROWS) -> DataFrame:
     """before2, before, word, after, label, form: known forms of secrets (1) and of what resembles them (0), half of each.
 
-    Neighbours are drawn alike for both, so they tell nothing by themselves; a form may put words of its own there.
+    Neighbours are drawn alike for both, so they tell nothing by themselves; a form may put words of its own there. Digests
+    and draws are columns of their own, which the forms name: written out in each form they made a plan that took the driver
+    a gigabyte of garbage.
     """
-    h = lambda k: F.sha2(F.concat_ws("-", F.lit(k), "id"), 256)
-    draw = lambda k, own: F.element_at(F.array(*map(F.lit, own)), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(own))).cast("int") + 1)
+    parts: dict[tuple, tuple[str, Column]] = {}  # the columns that forms are made of
+
+    def part(key: tuple, value: Column) -> Column:
+        return F.col(parts.setdefault(key, (f"p{len(parts)}", value))[0])
+
+    def draw(k: int, own: tuple) -> Column:
+        listed = F.split(F.lit("\t".join(own)), "\t") if isinstance(own[0], str) else F.array(*map(F.lit, own))
+        return part((k, own), F.element_at(listed, F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(own))).cast("int") + 1))
+
+    h = lambda k: part((k,), F.sha2(F.concat_ws("-", F.lit(k), "id"), 256))
     upper = F.translate(F.upper(F.substring(h(1), 1, 16)), "0189", "QXYZ")
     mixed = F.regexp_replace(F.base64(F.unhex(h(2))), "[+/=]", "x")
     around, around2 = draw(20, AROUND), draw(21, AROUND)
@@ -212,13 +222,13 @@ def labelled_findings(spark, rows: int = TRAIN_ROWS) -> DataFrame:
         (around, s(name, lit(":")), apart(s(letters(45), letters(46)))),
         (around2, around, s(scheme, lit("://"), host, lit("/"), dictionary(47), lit("/"), F.substring(digits, 1, 8), lit("-"), dictionary(48))),
     ]
-    base = spark.range(rows, numPartitions=1)
+    base, after = spark.range(rows, numPartitions=1), draw(22, AROUND)
 
     def forms(own: list, label: float) -> DataFrame:
-        k = F.pmod(F.floor(F.col("id") / 2), F.lit(len(own)))
-        pick = lambda i: reduce(lambda e, j: F.when(k == j, own[j][i]).otherwise(e), range(1, len(own)), own[0][i])
-        kept = base.where(F.pmod("id", F.lit(2)) == int(label))
-        return kept.select(pick(0).alias("before2"), pick(1).alias("before"), pick(2).alias("word"), draw(22, AROUND).alias("after"), F.lit(label).alias("label"), k.cast("int").alias("form"))
+        form = F.pmod(F.floor(F.col("id") / 2), F.lit(len(own))).cast("int")
+        pick = lambda i: reduce(lambda e, j: e.when(F.col("form") == j, own[j][i]), range(1, len(own)), F.when(F.col("form") == 0, own[0][i]))
+        kept = base.where(F.pmod("id", F.lit(2)) == int(label)).select(form.alias("form"), *(value.alias(name) for name, value in parts.values()))
+        return kept.select(pick(0).alias("before2"), pick(1).alias("before"), pick(2).alias("word"), after.alias("after"), F.lit(label).alias("label"), "form")
 
     return forms(true, 1.0).unionByName(forms(false, 0.0))
 

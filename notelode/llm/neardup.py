@@ -222,11 +222,13 @@ def frequencies(docs: DataFrame, buckets: int) -> tuple[np.ndarray, int]:
         found = np.flatnonzero(total)
         yield pd.DataFrame({"bin": np.append(found, -1).astype(np.int32), "n": np.append(total[found], rows)})
 
-    got = docs.select("text").mapInPandas(count, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
-    own = got["bin"] >= 0
+    # as Arrow: a Row for each of the bins would take the driver a hundred times their bytes
+    got = docs.select("text").mapInPandas(count, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    bins, n = got["bin"].to_numpy(), got["n"].to_numpy()
+    own = bins >= 0
     out = np.zeros(buckets, np.int64)
-    out[got["bin"][own].to_numpy()] = got["n"][own].to_numpy()
-    return out, int(got["n"][~own].sum())
+    out[bins[own]] = n[own]
+    return out, int(n[~own].sum())
 
 
 def bin_weights(counts: np.ndarray, n: int) -> np.ndarray:

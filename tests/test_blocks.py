@@ -44,6 +44,8 @@ def test_counts_in_chunks(monkeypatch, step, cells):
         got = sorted((int(x), int(y), int(n)) for chunk in blocks.counted(side, side, same) for x, y, n in zip(*chunk))
         want = [(x, y, len(np.intersect1d(lists[x], lists[y]))) for x in range(50) for y in range(50) if not same or x < y]
         assert got == sorted(w for w in want if w[2])
+        few = [(int(x), int(y), int(n)) for chunk in blocks.counted(side, side, same, 4) for x, y, n in zip(*chunk)]
+        assert sorted(few) == sorted(w for w in want if w[2] >= 4)
 
 
 def test_forest_keeps_the_groups(spark):
@@ -89,3 +91,8 @@ def same(spark, folder, name):
 
 def test_note_groups_of_hot_names(spark, hot):
     same(spark, hot, "note_groups")
+
+
+def test_backfilled_links_of_hot_names(spark, hot):
+    plan = same(spark, hot, "backfilled_links")
+    assert "Union" not in plan  # pairs are made once, and not stored for their two directions

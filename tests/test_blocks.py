@@ -96,3 +96,7 @@ def test_note_groups_of_hot_names(spark, hot):
 def test_backfilled_links_of_hot_names(spark, hot):
     plan = same(spark, hot, "backfilled_links")
     assert "Union" not in plan  # pairs are made once, and not stored for their two directions
+
+
+def test_cross_references_of_hot_names(spark, hot):
+    same(spark, hot, "cross_references")

@@ -100,3 +100,7 @@ def test_backfilled_links_of_hot_names(spark, hot):
 
 def test_cross_references_of_hot_names(spark, hot):
     same(spark, hot, "cross_references")
+
+
+def test_semantic_shares_of_hot_names(spark, hot):
+    assert "Exchange" not in same(spark, hot, "semantic_shares")  # pairs are not dealt out by a key

@@ -104,3 +104,7 @@ def test_cross_references_of_hot_names(spark, hot):
 
 def test_semantic_shares_of_hot_names(spark, hot):
     assert "Exchange" not in same(spark, hot, "semantic_shares")  # pairs are not dealt out by a key
+
+
+def test_object_jaccard_of_hot_names(spark, hot):
+    assert "Exchange" not in same(spark, hot, "object_jaccard")
